@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import packing, token_files
+from meridian.llm import licenses, packing, secrets, token_files, urls
 from meridian.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,27 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
+    base = tuple(k[0] for k in secrets.STRONG)
+    count = [F.size(secrets.of_kinds(F.col("secret_spans"), (k,))).cast("long").alias(f"n_{k}") for k in base]
+    sha = F.sha2(secrets.joined(F.col("secret_spans"), base), 256)
+    return found.select("doc_id", *count, sha.alias("base_sha256"), secrets.joined(F.col("secret_spans")).alias("spans"))
+
+
+#: The rules of the URL filter query: verdict, host, path.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+@query
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), URL_RULES, urls.fit(spark)).select("page_id", "host", "path", "rule", "verdict", F.round("probability", 6).alias("probability"))
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.recognise(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.array_join("classes", ",").alias("classes"))
