@@ -59,7 +59,7 @@ def _grams(text: Column, n: int, name: str) -> Column:
     return F.transform(places, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n)), F.lit(name)), F.lit(BUCKETS)).cast("int"))
 
 
-def fit(spark: SparkSession, labelled: list[tuple[str, str]] | None = None, rounds: int = 150, rate: float = 2.0, decay: float = 1e-3) -> tuple[list[float], float]:
+def fit(spark: SparkSession, labelled: list[tuple[str, str]] | None = None, rounds: int = 300, rate: float = 8.0, decay: float = 1e-4) -> tuple[list[float], float]:
     """Weights and bias by gradient descent on the log loss; block is the positive label."""
     labelled = labelled if labelled is not None else labelled_urls()
     if len(labelled) > MAX_LABELLED:
@@ -110,7 +110,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return (null, null) if name is None else (name.otherwise(null), verdict.otherwise(null))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: tuple[list[float], float], threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: tuple[list[float], float], threshold: float = 0.65) -> DataFrame:
     """(page_id, host, path, rule, verdict, probability) of pages(page_id, url).
 
     A null URL and one without :// have empty host and path, which the model judges as any other. Repeated rows
