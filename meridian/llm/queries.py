@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import langid, licenses, packing, quality, secrets, token_files, urls, warc
+from meridian.llm import langid, licenses, near_dups, packing, quality, secrets, token_files, urls, warc
 from meridian.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """
+
+
+@query
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.groups(read(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
