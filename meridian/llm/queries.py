@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import langid, licenses, near_dups, packing, quality, secrets, token_files, urls, warc
+from meridian.llm import decontam, langid, licenses, near_dups, packing, quality, secrets, token_files, urls, warc
 from meridian.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dups.groups(read(spark, sf_dir, "documents"), words=3, percent=85)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+@query
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
