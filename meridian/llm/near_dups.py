@@ -271,6 +271,8 @@ def one_of_each(documents: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     found = written(groups(documents, words, percent), "groups")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    kept = documents.join(gone, "doc_id", "left_anti")
-    single = kept.join(again, "doc_id", "left_anti")
-    return single.select(*documents.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"]))
+    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, "doc_id", "left_anti").select(*documents.columns)
+    return single.unionByName(kept.join(again, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"]))
