@@ -102,7 +102,8 @@ def joined(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
 def masked(documents: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """documents with each run of overlapping spans replaced by `mask`; n_chars follows the text. Rows stay, clean texts too."""
     cols = documents.columns
-    found = scan(documents, scope)
+    kept = {c: f"__own_{i}" for i, c in enumerate(cols) if c not in ("text", "n_chars")}
+    found = scan(documents.withColumnsRenamed(kept), scope)
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -114,4 +115,4 @@ def masked(documents: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) ->
     out = found.withColumn("text", F.when(F.size("secret_spans") > 0, done).otherwise(F.col("text")))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    return out.select(*[F.col(kept.get(c, c)).alias(c) for c in cols])
