@@ -14,14 +14,15 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from meridian.errors import AlreadyExists, NotFound
 from meridian.operators import lww, placement
 from meridian.operators.meta import Schema
 from meridian.sources import files
 
-ROW = StructType.fromDDL("id long, vector array<float>, payload binary, hlc long, tombstone boolean, lsn long, seq long, shard_idx int")
+_FIELDS = {"id": T.LongType(), "vector": T.ArrayType(T.FloatType()), "payload": T.BinaryType(), "hlc": T.LongType(), "tombstone": T.BooleanType(), "lsn": T.LongType(), "seq": T.LongType(), "shard_idx": T.IntegerType()}
+ROW = T.StructType([T.StructField(n, t) for n, t in _FIELDS.items()])
 SNAPSHOT_MB = 128
 
 
