@@ -18,7 +18,8 @@ from meridian.llm.common import slices
 
 #: Labelled texts of a language that a fit takes at most, their bytes together, and languages at most.
 SAMPLE_TEXTS, DICTIONARY_BYTES, MAX_LANGUAGES = 200, 112 * 1024, 256
-LEVEL = 3
+#: Level and shortest match of the compressor; short words only count with matches of three bytes.
+LEVEL, MIN_MATCH = 6, 3
 #: Bytes compressed at a time, so that a long text is judged by the dictionary throughout.
 BLOCK = 8192
 #: Share by which the best size must be below the second.
@@ -66,8 +67,9 @@ class Classifier:
         self.by = []
         for lang in self.languages:
             d = zstd.ZstdCompressionDict(dictionaries[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.by.append(zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False, level=level))
+            params = zstd.ZstdCompressionParameters.from_level(level, source_size=BLOCK, dict_size=len(dictionaries[lang]), min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            d.precompute_compress(compression_params=params)
+            self.by.append(zstd.ZstdCompressor(dict_data=d, compression_params=params))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The best language and the margin by which its size is below the second's, from 0 to 1."""
