@@ -51,24 +51,29 @@ class Graph:
         self.ids, self.vectors, self.metric, self.params = ids, np.asarray(vectors, np.float64), metric, params
         self.links: list[list[list[int]]] = links if links is not None else []
         self.entry = entry
+        self.done = len(self.links)
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1)) if len(self.vectors) else np.zeros(0)
         if links is None:
             draw = _random(params.seed)
             for node in range(len(ids)):
                 u = ((next(draw) >> 11) + 1) / (1 << 53)
                 self._insert(node, int(-math.log(u) / math.log(params.m)))
+                self.done += 1
 
-    def distances(self, q: np.ndarray, q_norm: float, nodes: list[int]) -> np.ndarray:
+    def distances(self, q: np.ndarray, q_norm: float, nodes: list[int] | slice) -> np.ndarray:
         rows = self.vectors[nodes]
         if self.metric == "L2":
             d = rows - q
             return np.einsum("ij,ij->i", d, d)
         den = self.norms[nodes] * q_norm
-        sim = np.divide(rows @ q, den, out=np.zeros(len(nodes)), where=den > 0)
+        sim = np.divide(rows @ q, den, out=np.zeros(len(rows)), where=den > 0)
         return 1.0 - np.clip(sim, -1.0, 1.0)
 
     def _nearest(self, q, q_norm, starts: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
         """Best-first search of a layer: the ef nearest found, ascending by (distance, node)."""
+        if layer == 0 and self.done <= ef:  # ef covers all nodes that are linked
+            nodes = range(self.done)
+            return sorted(zip(self.distances(q, q_norm, slice(0, self.done)).tolist(), nodes, strict=True))
         seen = {n for _, n in starts}
         todo = list(starts)
         heapq.heapify(todo)

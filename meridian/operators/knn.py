@@ -21,7 +21,7 @@ def order(score: str = "score", id_col: str = "id") -> list[Column]:
 def scored(points: DataFrame, query: Sequence[float], metric: str, dim: int | None = None) -> DataFrame:
     """points(id, vector, ...) with a DOUBLE `score` against one query vector."""
     query = check_vector(query, dim)
-    return points.withColumn("score", distance(metric, F.col("vector"), query, len(query)))
+    return points.withColumn("score", distance(metric, "vector", query, len(query)))
 
 
 def knn(points: DataFrame, query: Sequence[float], k: int = DEFAULT_K, metric: str = "L2", dim: int | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int = DEFAULT_K, metric:
     pairs = points.join(F.broadcast(queries), F.lit(True))
     w = Window.partitionBy("qid").orderBy(*order())
     return (
-        pairs.select("qid", "id", distance(metric, F.col("vector"), F.col("qvector"), dim).alias("score"))
+        pairs.select("qid", "id", distance(metric, "vector", "qvector", dim).alias("score"))
         .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
     )

@@ -115,12 +115,12 @@ def search_cosine(spark, sf_dir):
 
 @query("distance_l2", f"SELECT e.vec_id AS id, {_L2} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q")
 def distance_l2(spark, sf_dir):
-    return points(spark, sf_dir).select("id", l2_squared(F.col("vector"), vector_of(spark, sf_dir, 3), 64).alias("score"))
+    return points(spark, sf_dir).select("id", l2_squared("vector", vector_of(spark, sf_dir, 3), 64).alias("score"))
 
 
 @query("distance_cosine", f"SELECT e.vec_id AS id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q")
 def distance_cosine(spark, sf_dir):
-    return points(spark, sf_dir).select("id", cosine_distance(F.col("vector"), vector_of(spark, sf_dir, 3), 64).alias("score"))
+    return points(spark, sf_dir).select("id", cosine_distance("vector", vector_of(spark, sf_dir, 3), 64).alias("score"))
 
 
 @query(

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ def test_kernels(spark):
     rows = [([0.0, 0.0, 3.0], [0.0, 0.0, 0.0]), ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ([1.0, 2.0, 2.0], [2.0, 4.0, 4.0]), ([1.0, 0.0, 0.0], [-1.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "a array<float>, b array<float>")
     a, b = F.col("a"), F.col("b")
-    for dim in (3, None):
+    for a, b, dim in (("a", "b", 3), ("a", "b", None), (a, b, 3)):
         got = df.select(l2_squared(a, b, dim).alias("l"), cosine_distance(a, b, dim).alias("c")).collect()
         assert [r["l"] for r in got] == [9.0, 2.0, 9.0, 4.0]
         assert [r["c"] for r in got] == [1.0, 1.0, 0.0, 2.0]
@@ -27,7 +28,9 @@ def test_unrolled_equals_fold(spark):
     df = spark.createDataFrame(rows, "a array<float>, b array<float>")
     a, b = F.col("a"), F.col("b")
     for f in (l2_squared, cosine_distance):
-        assert df.where(f(a, b, 20) != f(a, b)).count() == 0
+        assert df.where(f("a", "b", 20) != f(a, b)).count() == 0
+        q = [float(np.float32(x)) for x in rows[0][1]]
+        assert df.where(f("a", q, 20) != f("a", q)).count() == 0
 
 
 def test_vectors_are_checked():
