@@ -23,9 +23,9 @@ def live(versions: DataFrame) -> DataFrame:
     return versions.where("not tombstone")
 
 
-def outcomes(log: DataFrame) -> DataFrame:
+def outcomes(log: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
     """The log with `outcome`, what each write met on arrival: Stale if its stamp was not above all earlier ones."""
-    w = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     before = F.max("hlc").over(w)
     return log.withColumn("outcome", F.when(F.col("hlc") <= before, F.lit("Stale")).otherwise(F.lit("Applied")))
 

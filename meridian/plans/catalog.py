@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions import hlc
 from meridian.functions.vector import cosine_distance, l2_squared
-from meridian.operators import hnsw, knn, lww, meta, placement, replication
+from meridian.operators import hnsw, knn, lww, meta, placement, rebalance, replication
 from meridian.plans import sqltext as sql
 from meridian.session import table
 from meridian.sources import files, wal
@@ -374,6 +374,35 @@ def reconcile_plan(spark, sf_dir):
     return replication.reconcile_plan(desired, held, held)
 
 
+@query("read_view", f"WITH {_MAP}, {_NODES} SELECT collection, shard_idx, rank::INTEGER AS rank, node_id::BIGINT AS node_id, up FROM smap JOIN nodes USING (node_id) WHERE state = 'Active'")
+def read_view(spark, sf_dir):
+    return replication.read_view(shard_map(spark), nodes(spark)).select("collection", "shard_idx", "rank", "node_id", "up")
+
+
+@query(
+    "replica_write",
+    f"WITH {sql.LATE} SELECT node_id, seq, id, CASE WHEN hlc <= max(hlc) OVER (PARTITION BY node_id, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'Stale' ELSE 'Applied' END AS outcome FROM late",
+)
+def replica_write(spark, sf_dir):
+    """What each replica says to the writes that reach it."""
+    return lww.outcomes(late_log(spark, sf_dir), ("node_id", "id")).select("node_id", "seq", "id", "outcome")
+
+
+def _moves() -> list[tuple[int, int, int]]:
+    """(shard_idx, source, target): replica 1 pulls the even shards from 0, and 0 the odd ones from 2."""
+    return [(i, 0, 1) if i % 2 == 0 else (i, 2, 0) for i in range(SHARDS)]
+
+
+@query(
+    "rebalance_pull",
+    f"WITH {_REPLICAS}, {sql.hashed('SELECT DISTINCT id FROM rv')}, v AS (SELECT rv.*, (h % 8)::INTEGER AS shard_idx FROM rv JOIN h USING (id)), {sql.values('moves', 'shard_idx, source, target', _moves())} "
+    "SELECT m.target::BIGINT AS node_id, v.shard_idx, v.id, v.hlc, v.tombstone FROM v JOIN moves m ON m.shard_idx = v.shard_idx AND m.source = v.node_id LEFT JOIN v t ON t.node_id = m.target AND t.id = v.id WHERE t.hlc IS NULL OR v.hlc > t.hlc",
+)
+def rebalance_pull(spark, sf_dir):
+    v = replica_versions(spark, sf_dir).withColumn("shard_idx", placement.shard_for_id(F.col("id"), SHARDS))
+    return rebalance.pull(v, spark.createDataFrame(_moves(), "shard_idx int, source long, target long")).select("node_id", "shard_idx", "id", "hlc", "tombstone")
+
+
 # Metadata, durability, streaming
 
 

@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridian.client import Client
+from meridian.config import Config
 from meridian.errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound
 from meridian.functions.hlc import Clock
 from meridian.operators import hnsw, knn
-from meridian.sources import files, wal
+from meridian.operators.meta import Schema
+from meridian.sources import files, hints, wal
+from meridian.sources.meta_log import MetaLog
 from meridian.sources.store import Store
 
 GOLDEN = "2900000090f77d8b0000000100000000000a00000000000000030000000000803f000000400000404000000000"
@@ -55,6 +58,54 @@ def test_wal_source(spark):
     assert rows(a) == rows(b) and len(rows(a)) == 50 and rows(a)[4] == (4, "upsert", 4, (4.0,))
 
 
+def test_hint_frames():
+    rows = [(3, "a/é", 7, wal.UPSERT, 9, 1, [1.0], b"x"), (4, "", 0, wal.DELETE, 10, 2)]
+    blob = b"".join(hints.encode(*r) for r in rows)
+    want = [(3, "a/é", 7, "upsert", 9, 1, [1.0], b"x"), (4, "", 0, "delete", 10, 2, [], b"")]
+    assert list(hints.decode(blob)) == want
+    first = len(hints.encode(*rows[0]))
+    for n in range(len(blob)):
+        assert list(hints.decode(blob[:n])) == want[: int(n >= first)]
+    for i in range(first):
+        assert list(hints.decode(blob[:i] + bytes([blob[i] ^ 1]) + blob[i + 1 :])) == []
+
+
+def test_hint_table(spark):
+    t = hints.HintTable(spark, files.shared_path(spark, "hints"))
+    rows = [(n, "c", 0, "delete" if i == 2 else "upsert", 10 + i, i, None, None) for n in (1, 2) for i in range(3)]
+    t.append(spark.createDataFrame(rows[:3], hints.SCHEMA))
+    t.append(spark.createDataFrame(rows[3:], hints.SCHEMA))
+    assert t.read().count() == 6
+    log = spark.createDataFrame([(1, 0, 5, 99, False), (1, 2, 6, 11, False)], "node_id long, id long, seq long, hlc long, tombstone boolean")
+    state = t.replay(log, spark.createDataFrame([(1,)], "node_id long"))
+    assert sorted((r["id"], r["hlc"], r["tombstone"]) for r in state.collect()) == [(0, 99, False), (1, 11, False), (2, 12, True)]
+    assert {r["target_node"] for r in t.read().collect()} == {2} and t.read().count() == 3
+    t.clear()
+    assert t.read().count() == 0
+
+
+def test_meta_log(spark):
+    folder = files.shared_path(spark, "meta")
+    log = MetaLog(spark, folder, snapshot_every=3)
+    log.apply("register", node_id=1, addr="h:1")
+    assert log.apply("create", name="a", schema=Schema(4)) == "created" and log.apply("create", name="a", schema=Schema(5)) == "exists"
+    log.apply("set_state", collection="a", shard_idx=0, node_id=1, state="Syncing")
+    other = MetaLog(spark, folder)
+    assert other.state == log.state and other.index == 4 and other.state.collections["a"].dim == 4
+    other.apply("noop")
+    with pytest.raises(RuntimeError):
+        log.apply("noop")
+
+
+def test_config():
+    c = Config.from_toml('node_id = 3\nlisten_addr = "127.0.0.1:1"\nvnodes = 8\n[raft]\npeers = []\n')
+    assert (c.node_id, c.vnodes, c.advertise, c.snapshot_wal_mb) == (3, 8, "127.0.0.1:1", 128)
+    assert Config.from_flags(["--node-id", "2", "--advertise-addr", "db:7"]).advertise == "db:7"
+    for bad in ("node_id = 1\nvnodes = 0", "node_id = 1\nsnapshot_wal_mb = 0"):
+        with pytest.raises(ValueError):
+            Config.from_toml(bad)
+
+
 @pytest.fixture
 def client(spark):
     ticks = iter(range(1, 10**6))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from meridian.errors import FailedPrecondition
-from meridian.operators import lww, meta, placement, replication
+from meridian.operators import lww, meta, placement, rebalance, replication
 
 
 def replay(writes):
@@ -104,3 +104,17 @@ def test_hints_stay_for_unknown_targets(spark):
     state, left = replication.replay(hinted, log, nodes)
     assert [(r["node_id"], r["hlc"], r["tombstone"]) for r in state.collect()] == [(1, 5, False)]
     assert [r["target_node"] for r in left.collect()] == [9]
+
+
+def test_acquisitions(spark):
+    plan = spark.createDataFrame([("c", 0, 1, "acquire"), ("c", 1, 1, "acquire"), ("c", 2, 1, "activate"), ("c", 3, 1, "keep")], "collection string, shard_idx int, node_id long, action string")
+    sources = spark.createDataFrame([("c", 0, False), ("c", 0, True), ("c", 1, False)], "collection string, shard_idx int, ok boolean")
+    got = sorted((r["shard_idx"], r["step"], r["state"]) for r in rebalance.transitions(plan, sources).collect())
+    assert got == [(0, 0, "Syncing"), (0, 1, "Active"), (1, 0, "Syncing"), (2, 0, "Active")]
+
+
+def test_replicas_agree_after_a_pull(spark):
+    v = spark.createDataFrame([(1, 0, 7, 5, False), (1, 0, 8, 2, False), (2, 0, 7, 6, True), (2, 0, 9, 1, False)], "node_id long, shard_idx int, id long, hlc long, tombstone boolean")
+    moves = spark.createDataFrame([(0, 2, 1)], "shard_idx int, source long, target long")
+    got = rebalance.after_pull(v, rebalance.pull(v, moves)).where("node_id = 1")
+    assert sorted((r["id"], r["hlc"], r["tombstone"]) for r in got.collect()) == [(7, 6, True), (8, 2, False), (9, 1, False)]
