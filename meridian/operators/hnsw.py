@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.operators.knn import query_blocks
+
 _M64 = (1 << 64) - 1
-#: Queries probed together.
-QUERY_BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -201,18 +201,18 @@ def build(points: DataFrame, metric: str = "L2", params: Params = Params()) -> D
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64) -> DataFrame:
     """(qid, id, score, rank): the k nearest found for queries(qid, qvector), probed in blocks against every graph."""
-    blocks = queries.withColumn("block", F.floor(F.row_number().over(Window.orderBy("qid")) / QUERY_BLOCK)).groupBy("block").agg(F.collect_list(F.struct("qid", "qvector")).alias("queries"))
-    pairs = graphs.select("graph").join(F.broadcast(blocks), F.lit(True))
+    found = graphs.sparkSession.createDataFrame([], "qid long, id long, score double")
+    for block in query_blocks(queries):
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for blob, queries_ in zip(pdf["graph"], pdf["queries"], strict=True):
-                g = Graph.from_bytes(blob)
-                rows = [(q["qid"], i, d) for q in queries_ for d, i in g.search(q["qvector"], k, ef)]
-                yield pd.DataFrame(rows, columns=["qid", "id", "score"])
+        def run(it: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                for blob in pdf["graph"]:
+                    g = Graph.from_bytes(blob)
+                    rows = [(q, i, d) for q, v in block for d, i in g.search(v, k, ef)]
+                    yield pd.DataFrame(rows, columns=["qid", "id", "score"])
 
+        found = found.union(graphs.select("graph").mapInPandas(run, "qid long, id long, score double"))
     w = Window.partitionBy("qid").orderBy(F.col("score").asc_nulls_last(), "id")
-    found = pairs.mapInPandas(run, "qid long, id long, score double")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from meridian.functions.vector import check_vector, distance
 
 DEFAULT_K = 10
 DEFAULT_EF = 64
+#: Queries of a batch search that go against the points together.
+QUERY_BLOCK = 2000
 
 
 def order(score: str = "score", id_col: str = "id") -> list[Column]:
@@ -49,16 +53,63 @@ def merge_topk(shard_results: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     return shard_results.select("id", "score").orderBy(*order()).limit(k)
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int = DEFAULT_K, metric: str = "L2", dim: int = 64) -> DataFrame:
-    """Batch search (an extension): queries(qid, qvector) against all points.
-
-    The query set is the stated, bounded side: it is scored against every point as the points stream by,
-    and the per-query rank limit runs before the exchange.
+def query_blocks(queries: DataFrame, column: str = "qvector") -> Iterator[list[tuple[int, list[float]]]]:
+    """queries(qid, qvector) in lists of QUERY_BLOCK or so, dealt by hash; one block is on the driver at a time."""
+    n = -(-queries.count() // QUERY_BLOCK)
+    rows = queries.select("qid", column)
+    for k in range(n):
+        part = rows.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) if n > 1 else rows
+        if block := [(r[0], list(r[1])) for r in part.collect()]:
+            yield sorted(block, key=lambda q: q[0])
+
+
+def scores(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all points to all queries, added up from the first dimension to the last as the expressions do."""
+
+    def total(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(a), b.shape[0]))
+        for j in range(a.shape[1]):
+            out += a[:, j, None] * b[None, :, j]
+        return out
+
+    if metric == "L2":
+        out = np.zeros((len(points), len(queries)))
+        for j in range(points.shape[1]):
+            d = points[:, j, None] - queries[None, :, j]
+            out += d * d
+        return out
+    norms = [np.zeros(len(x)) for x in (points, queries)]
+    for x, norm in zip((points, queries), norms, strict=True):
+        for j in range(x.shape[1]):
+            norm += x[:, j] * x[:, j]
+    den = np.sqrt(norms[0])[:, None] * np.sqrt(norms[1])[None, :]
+    sim = np.divide(total(points, queries), den, out=np.zeros_like(den), where=den != 0)
+    return np.where(den == 0, 1.0, 1.0 - np.clip(sim, -1.0, 1.0))
+
+
+def knn_join(queries: DataFrame, points: DataFrame, k: int = DEFAULT_K, metric: str = "L2") -> DataFrame:
+    """Batch search (an extension): (qid, id, score, rank) for queries(qid, qvector) against all points(id, vector).
+
+    Queries go in blocks against the points as they stream by. A task keeps k rows for each query of the block, so
+    what is shuffled follows tasks and queries, not pairs.
     """
-    pairs = points.join(F.broadcast(queries), F.lit(True))
+    out = points.sparkSession.createDataFrame([], "qid long, id long, score double")
+    for block in query_blocks(queries):
+        qids, qs = np.array([q for q, _ in block], np.int64), np.array([v for _, v in block], np.float64)
+
+        def run(batches, qids=qids, qs=qs):
+            ids, best = np.zeros((0, len(qids)), np.int64), np.zeros((0, len(qids)))
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    here = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False)[:, None], (part.num_rows, len(qids)))
+                    ids, best = np.concatenate([ids, here]), np.concatenate([best, scores(x, qs, metric)])
+                    nearest = np.lexsort((ids, best), axis=0)[:k]
+                    ids, best = np.take_along_axis(ids, nearest, 0), np.take_along_axis(best, nearest, 0)
+            if len(ids):
+                yield pa.record_batch([pa.array(np.tile(qids, len(ids))), pa.array(ids.ravel()), pa.array(best.ravel())], names=["qid", "id", "score"])
+
+        out = out.union(points.select("id", "vector").mapInArrow(run, "qid long, id long, score double"))
     w = Window.partitionBy("qid").orderBy(*order())
-    return (
-        pairs.select("qid", "id", distance(metric, "vector", "qvector", dim).alias("score"))
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-    )
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -138,7 +138,7 @@ def shard_topk(spark, sf_dir):
     "FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 10",
 )
 def knn_join_topk(spark, sf_dir):
-    return knn.knn_join(query_vectors(spark, sf_dir), points(spark, sf_dir), 10, "L2", 64)
+    return knn.knn_join(query_vectors(spark, sf_dir), points(spark, sf_dir), 10, "L2")
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

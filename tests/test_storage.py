@@ -224,3 +224,17 @@ def test_knn_edges(spark):
     assert "TakeOrderedAndProject" in plan
     topk = knn.shard_topk(df.withColumn("shard_idx", (F.col("id") % 2).cast("int")), [0.0], 2)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in topk
+
+
+@pytest.mark.parametrize("metric", ["L2", "COSINE"])
+def test_batch_search_equals_single(spark, metric, monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 3)
+    data = clustered(300, 8, 5).astype(np.float32)
+    data[7] = 0
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vector array<float>").repartition(3)
+    queries = df.where("id % 40 = 7").selectExpr("id as qid", "vector as qvector")
+    got = knn.knn_join(queries, df, 5, metric).collect()
+    for q in queries.collect():
+        want = [(r["id"], r["score"]) for r in knn.knn(df, list(q["qvector"]), 5, metric).collect()]
+        assert [(r["id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["qid"] == q["qid"]] == want
+    assert knn.knn_join(queries.limit(0), df).count() == 0
