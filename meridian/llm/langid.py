@@ -7,7 +7,6 @@ rejection.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import pyarrow as pa
@@ -26,9 +25,6 @@ BLOCK = 8192
 MARGIN = 0.01
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -37,18 +33,32 @@ def held_out_id(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+def _share(h: str) -> Column:
+    """A hash as a number from 0 to 1, in its order."""
+    return F.col(h) / F.lit(2.0**64) + F.lit(0.5)
+
+
 def fit(labelled: DataFrame, texts_each: int = SAMPLE_TEXTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language from labelled(doc_id, text, lang): of each language, the texts of least hash.
 
     Each text gives an equal share of the dictionary. At most texts_each texts of each of MAX_LANGUAGES languages
     reach the driver; more languages are an error. Rows with null text, lang or doc_id teach nothing.
     """
-    rows = labelled.where("text is not null and lang is not null and doc_id is not null").select("lang", F.substring("text", 1, size).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+    rows = labelled.where("text is not null and lang is not null and doc_id is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    w = Window.partitionBy("lang").orderBy("h")
     share = max(1, size // texts_each)
-    best = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= texts_each).select("lang", "r", F.substring("text", 1, 4 * share).alias("text")).collect()
+    w = Window.partitionBy("lang").orderBy("h")
+    # Only hashes that can be among the least go on: a few times texts_each rows a language, however many there are.
+    near = F.lit(False)
+    for r in counts:
+        near = near | ((F.col("lang") == r["lang"]) & (_share("h") <= min(1.0, 4.0 * texts_each / r["n"])))
+    picked = [rows.where(near), rows]
+    for source in picked:
+        best = source.withColumn("r", F.row_number().over(w)).where(F.col("r") <= texts_each).select("lang", "r", F.substring("text", 1, 4 * share).alias("text")).collect()
+        if len(best) == sum(min(texts_each, r["n"]) for r in counts):
+            break
     by: dict[str, list] = {}
     for r in sorted(best, key=lambda r: (r["lang"], r["r"])):
         by.setdefault(r["lang"], []).append(r["text"].lower().encode())
@@ -73,7 +83,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The best language and the margin by which its size is below the second's, from 0 to 1."""
-        if not text or not self.by or not _LETTER.search(text):
+        if not text or not self.by or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         data = text.lower().encode()
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]

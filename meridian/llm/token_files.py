@@ -115,7 +115,7 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     docs = documents.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("c")).first()["c"]
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("c")).first()["c"]
     bounds = np.unique(np.array(cuts or [], np.int64))
 
     def run(batches):
