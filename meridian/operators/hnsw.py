@@ -27,7 +27,7 @@ class Params:
     m: int = 16
     m0: int = 32
     ef_construction: int = 200
-    seed: int = 0x5EED_1234_ABCD_0001
+    seed: int = 42
 
     def __post_init__(self):
         if self.m < 2 or self.m0 < self.m or self.ef_construction < 1:

@@ -454,3 +454,18 @@ def stream_lww(spark, sf_dir):
     q.awaitTermination()
     last = max(int(x.split("=")[1]) for x in files.names(spark, f"{base}/state"))
     return spark.read.parquet(f"{base}/state/batch={last}").select("id", "seq", "hlc", "tombstone")
+
+
+@query(
+    "stream_outcomes",
+    f"WITH {sql.LATE} SELECT seq, id, CASE WHEN hlc <= max(hlc) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'Stale' ELSE 'Applied' END AS outcome FROM late",
+)
+def stream_outcomes(spark, sf_dir):
+    base = files.shared_path(spark, "stream")
+    log = late_log(spark, sf_dir).select("seq", "id", "hlc")
+    n = log.count()
+    for k in range(3):  # arrivals in order, a file at a time
+        log.where((F.col("seq") >= k * n // 3) & (F.col("seq") < (k + 1) * n // 3)).coalesce(1).write.mode("append").parquet(f"{base}/log")
+    q = stream.append(stream.outcomes(stream.read_log(spark, f"{base}/log", log.schema)), f"{base}/out", f"{base}/checkpoint")
+    q.awaitTermination()
+    return spark.read.schema("seq long, id long, outcome string").parquet(f"{base}/out")

@@ -6,9 +6,13 @@ distinct ids and never expires: dropping a tombstone's stamp would let an older
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -30,3 +34,26 @@ def materialise(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def outcomes(stream: DataFrame) -> DataFrame:
+    """(seq, id, outcome) of each write of a stream (seq, id, hlc) as it arrives: Stale unless its stamp is above all
+    earlier ones of its id. Batches arrive in order; inside a batch writes go by seq. The state is a stamp an id."""
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        writes = pd.concat(list(pdfs)).sort_values("seq")
+        high = writes["hlc"].cummax()
+        before = high.shift(fill_value=-1)
+        if state.exists:
+            before = before.clip(lower=state.get[0])
+        stale = writes["hlc"] <= before
+        state.update((max(int(high.iloc[-1]), state.get[0] if state.exists else -1),))
+        yield pd.DataFrame({"seq": writes["seq"], "id": key[0], "outcome": stale.map({True: "Stale", False: "Applied"})})
+
+    grouped = stream.select("seq", "id", "hlc").groupBy("id")
+    return grouped.applyInPandasWithState(run, "seq long, id long, outcome string", "hlc long", "append", GroupStateTimeout.NoTimeout)
+
+
+def append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes an append-only stream as Parquet, each row once."""
+    return stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
