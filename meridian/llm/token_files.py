@@ -109,11 +109,17 @@ def decode_blocks(blob: memoryview, ids_of: np.ndarray):
             yield (None if is_null else d), ids[a:b]
 
 
+def _bytes(docs: DataFrame) -> int:
+    """Roughly the texts' size: the optimizer's estimate, or a sum over the texts where it has none."""
+    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate if estimate < 1 << 55 else docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+
+
 def tokenized(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """documents(doc_id, text) as a written table (part, doc_id, ids), dealt by ranges of doc_id and sorted in each."""
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    size = _bytes(docs)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("c")).first()["c"]
     bounds = np.unique(np.array(cuts or [], np.int64))
