@@ -91,7 +91,8 @@ def _ids(text: Column) -> Column:
 
 
 def _follows(ids: tuple[str, ...]) -> str:
-    return "," + "(?:[^,]+,)*?".join(re.escape(i).replace("\\-", "-") + "," for i in ids)
+    """Matches a sequence written as ,a,,b,,c, in which the ids follow one another."""
+    return ".*?".join(f",{i}," for i in ids)
 
 
 def recognise(documents: DataFrame) -> DataFrame:
@@ -103,10 +104,11 @@ def recognise(documents: DataFrame) -> DataFrame:
     """
     none = F.array().cast("array<string>")
     text = F.coalesce("text", F.lit(""))
-    across = F.regexp_replace(F.regexp_replace(text, "\n[\\x20\\x09\\x0D]*\n", ".\u0085"), "[\\x20\\x09\\x0D]*\n[\\x20\\x09\\x0D]*", " ")
+    thin = F.regexp_replace(text, "[\\x20\\x09\\x0D]+", " ")
+    across = F.regexp_replace(F.regexp_replace(thin, "\n ?\n", ".\u0085"), " ?\n ?", " ")
     hit = text.rlike(TRIGGER)
     out = documents.select("doc_id", F.when(hit, _ids(text)).otherwise(none).alias("__lines"), F.when(hit, _ids(F.regexp_replace(across, "\u0085", "\n"))).otherwise(none).alias("__across"))
-    seq = lambda c: F.concat(F.lit(","), F.array_join(c, ","), F.lit(","))
+    seq = lambda c: F.concat(F.lit(","), F.array_join(c, ",,"), F.lit(","))
     out = out.select("doc_id", F.when(F.size("__across") > F.size("__lines"), F.col("__across")).otherwise(F.col("__lines")).alias("sentence_ids"), seq("__lines").alias("__a"), seq("__across").alias("__b"))
     holds = [F.when(F.col("__a").rlike(_follows(ids)) | F.col("__b").rlike(_follows(ids)), F.struct(F.lit(name).alias("license"), F.lit(kind).alias("class"))) for name, kind, ids in RULES]
     rules = F.when(F.size("sentence_ids") > 0, F.filter(F.array(*holds), lambda r: r.isNotNull())).otherwise(F.array().cast("array<struct<license:string,class:string>>"))

@@ -78,16 +78,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 def license_rules() -> str:
     known = ", ".join(f"{_str(licenses.normal(s))}: {_str(k)}" for k, s in licenses.SENTENCES.items())
-    blank, wrap = r"[\x09-\x0D\x20]", r"[\x20\x09\x0D]*"
+    blank = r"[\x09-\x0D\x20]"
     plain = "lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g')))"
     ids = f"list_filter(list_transform(string_split(regexp_replace({{}}, '([.!?:]){blank}+', '\\1' || chr(10), 'g'), chr(10)), lambda s: map_extract(m, {plain})[1]), lambda k: k IS NOT NULL)"
-    across = f"replace(regexp_replace(regexp_replace(t, '\\n{wrap}\\n', '.' || chr(133), 'g'), '{wrap}\\n{wrap}', ' ', 'g'), chr(133), chr(10))"
+    thin = r"regexp_replace(t, '[\x20\x09\x0D]+', ' ', 'g')"
+    across = f"replace(regexp_replace(regexp_replace({thin}, '\\n ?\\n', '.' || chr(133), 'g'), ' ?\\n ?', ' ', 'g'), chr(133), chr(10))"
     name = ", ".join(f"CASE WHEN regexp_matches(a, {_str(licenses._follows(i))}) OR regexp_matches(b, {_str(licenses._follows(i))}) THEN {{{{'l': {_str(n)}, 'c': {_str(c)}}}}} END" for n, c, i in licenses.RULES).replace("{{", "{").replace("}}", "}")
     once = "array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i), ',')"
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t, MAP {{{known}}} AS m FROM documents),
 i AS (SELECT doc_id, CASE WHEN regexp_matches(t, {_str(licenses.TRIGGER)}) THEN {ids.format("t")} ELSE [] END AS p, CASE WHEN regexp_matches(t, {_str(licenses.TRIGGER)}) THEN {ids.format(across)} ELSE [] END AS q FROM t),
-s AS (SELECT doc_id, CASE WHEN len(q) > len(p) THEN q ELSE p END AS ids, ',' || array_to_string(p, ',') || ',' AS a, ',' || array_to_string(q, ',') || ',' AS b FROM i),
+s AS (SELECT doc_id, CASE WHEN len(q) > len(p) THEN q ELSE p END AS ids, ',' || array_to_string(p, ',,') || ',' AS a, ',' || array_to_string(q, ',,') || ',' AS b FROM i),
 r AS (SELECT doc_id, ids, list_filter([{name}], lambda x: x IS NOT NULL) AS rules FROM s),
 o AS (SELECT doc_id, ids, list_transform(rules, lambda x: x.l) AS ls, list_transform(rules, lambda x: x.c) AS cs FROM r)
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, {once.format("ls")} AS licenses, {once.format("cs")} AS classes FROM o

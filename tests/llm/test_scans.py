@@ -105,9 +105,9 @@ def test_every_known_sentence_has_a_trigger_and_a_rule():
 def test_licenses(spark, messy, empty):
     s = licenses.SENTENCES
     wrapped = re.sub(r"(.{50}\S*) ", r"\1\n   ", " ".join([s["apache-grant"], s["apache-copy"], s["apache-warranty"], s["apache-limits"]]))
-    rows = [(1, None), (2, ""), (3, "Prose here.\n" + s["cc-by-nc"] + "\n" + s["mit-short"]), (4, wrapped), (5, s["mit-warranty"] + "\n" + s["mit-grant"] + "\n" + s["mit-notice"]), (6, "\n".join([s["mit-grant"], s["mit-notice"], "other words", s["mit-warranty"]])), (7, "a licence is mentioned"), (8, "released UNDER the   mit license"), (None, s["gpl3-short"])]
+    rows = [(1, None), (2, ""), (3, "Prose here.\n" + s["cc-by-nc"] + "\n" + s["mit-short"]), (4, wrapped), (5, s["mit-warranty"] + "\n" + s["mit-grant"] + "\n" + s["mit-notice"]), (6, "\n".join([s["mit-grant"], s["mit-notice"], "other words", s["mit-warranty"]])), (7, "a licence is mentioned"), (8, "released UNDER the   mit license"), (None, s["gpl3-short"]), (10, (s["reserved"] + "\n") * 20_000 + s["mit-grant"] + " " * 200_000 + s["mit-notice"] + "\n" + s["mit-warranty"])]
     got = {r["doc_id"]: r for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i]["licenses"] for i in (1, 2, 3, 5, 6, 7, 8, None)] == [[], [], ["MIT", "CC-BY-NC-4.0"], [], ["MIT"], [], ["MIT"], ["GPL-3.0-only"]]
     assert got[3]["sentence_ids"] == ["cc-by-nc", "mit-short"]
-    assert got[4]["licenses"] == ["Apache-2.0"]
+    assert got[4]["licenses"] == ["Apache-2.0"] and got[10]["licenses"] == ["MIT", "Proprietary"]
     assert licenses.recognise(messy).count() == messy.count() and licenses.recognise(empty).count() == 0
