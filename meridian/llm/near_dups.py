@@ -44,7 +44,7 @@ class _Hashes(dict):
     """Word to 64-bit hash, for as many words as fit."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

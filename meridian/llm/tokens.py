@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Pieces kept in a worker; beyond it the older half goes.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 
 _ODD = re.compile(r"[ \n](?:\s|$)")
 _CUT = re.compile(r"(?=[ \n]\S)")
