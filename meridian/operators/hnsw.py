@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from meridian.operators.knn import query_blocks
 
 _M64 = (1 << 64) - 1
+#: Up to so many nodes a scan finds an insertion's candidates sooner than a walk does, and exactly.
+SCAN_POINTS = 20_000
 
 
 @dataclass(frozen=True)
@@ -72,8 +74,7 @@ class Graph:
     def _nearest(self, q, q_norm, starts: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
         """Best-first search of a layer: the ef nearest found, ascending by (distance, node)."""
         if layer == 0 and self.done <= ef:  # ef covers all nodes that are linked
-            nodes = range(self.done)
-            return sorted(zip(self.distances(q, q_norm, slice(0, self.done)).tolist(), nodes, strict=True))
+            return self._scan(q, q_norm, ef)
         seen = {n for _, n in starts}
         todo = list(starts)
         heapq.heapify(todo)
@@ -95,14 +96,37 @@ class Graph:
                         heapq.heappop(best)
         return sorted((-d, -n) for d, n in best)
 
+    def _scan(self, q, q_norm, most: int) -> list[tuple[float, int]]:
+        """The nearest of all linked nodes, ascending."""
+        d = self.distances(q, q_norm, slice(0, self.done))
+        near = np.argpartition(d, most)[:most] if len(d) > most else np.arange(len(d))
+        near = near[np.lexsort((near, d[near]))]
+        return list(zip(d[near].tolist(), near.tolist(), strict=True))
+
+    def _between(self, nodes: list[int]) -> np.ndarray:
+        """Distances of some nodes to one another."""
+        rows = self.vectors[nodes]
+        gram = rows @ rows.T
+        if self.metric == "L2":
+            own = gram.diagonal()
+            return own[:, None] + own[None, :] - 2 * gram
+        den = np.outer(self.norms[nodes], self.norms[nodes])
+        return 1.0 - np.divide(gram, den, out=np.zeros_like(den), where=den > 0)
+
     def _spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Neighbours in different directions: one is taken unless a taken one is nearer to it than the base is."""
-        taken: list[int] = []
-        for d, n in found:
-            if len(taken) == most:
+        nodes = [n for _, n in found]
+        base, apart = np.array([d for d, _ in found]), self._between(nodes)
+        nearest = np.full(len(nodes), np.inf)
+        taken, at = [], 0
+        while len(taken) < most:
+            free = (nearest[at:] >= base[at:]).nonzero()[0]
+            if not len(free):
                 break
-            if not taken or not (self.distances(self.vectors[n], self.norms[n], taken) < d).any():
-                taken.append(n)
+            at += int(free[0])
+            taken.append(nodes[at])
+            nearest = np.minimum(nearest, apart[at])
+            at += 1
         return taken
 
     def _insert(self, node: int, level: int) -> None:
@@ -116,7 +140,10 @@ class Graph:
         for layer in range(top, level, -1):
             at = self._nearest(q, q_norm, at[:1], 1, layer)
         for layer in range(min(level, top), -1, -1):
-            at = self._nearest(q, q_norm, at, self.params.ef_construction, layer)
+            if layer == 0 and self.done <= SCAN_POINTS:
+                at = self._scan(q, q_norm, self.params.ef_construction)
+            else:
+                at = self._nearest(q, q_norm, at, self.params.ef_construction, layer)
             most = self.params.m0 if layer == 0 else self.params.m
             chosen = self._spread(at, self.params.m)
             self.links[node][layer] = list(chosen)

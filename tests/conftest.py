@@ -1,3 +1,7 @@
+import os
+
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # as Spark sets it for its workers
+
 import pytest
 
 from meridian.session import local_session
