@@ -12,7 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licence notices, by identifier.
+# Sentences of public licence notices, by identifier. None holds a mark at which a text is cut, as one
+# could never match: what a notice says around such a mark (software: you can ..., v. 2.0) stands here in its pieces.
 SENTENCES = {
     "apache-short": "Licensed under the Apache License, Version 2.0.",
     "apache-grant": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -30,11 +31,14 @@ SENTENCES = {
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "bsd-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     "gpl3-short": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl3-grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl2-grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-details": "See the GNU General Public License for more details.",
-    "mpl-grant": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-grant": "This Source Code Form is subject to the terms of the Mozilla Public License, v.2.0.",
+    "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "version-2-0": "2.0.",
     "cc-by": "Licensed under CC BY 4.0.",
     "cc-by-sa": "Licensed under CC BY-SA 4.0.",
     "cc-by-nc": "Licensed under CC BY-NC 4.0.",
@@ -59,9 +63,11 @@ RULES = (
     ("BSD-3-Clause", "permissive", ("bsd-grant", "bsd-endorse", "bsd-warranty")),
     ("BSD-2-Clause", "permissive", ("bsd-grant", "bsd-warranty")),
     ("GPL-3.0-or-later", "copyleft", ("gpl3-grant", "gpl-warranty")),
+    ("GPL-3.0-or-later", "copyleft", ("gpl3-terms", "gpl-warranty")),
     ("GPL-2.0-or-later", "copyleft", ("gpl2-grant", "gpl-warranty")),
     ("GPL-3.0-only", "copyleft", ("gpl3-short",)),
     ("MPL-2.0", "copyleft", ("mpl-grant",)),
+    ("MPL-2.0", "copyleft", ("mpl-form", "version-2-0")),
     ("CC-BY-4.0", "attribution", ("cc-by",)),
     ("CC-BY-4.0", "attribution", ("cc-by-work",)),
     ("CC-BY-SA-4.0", "copyleft", ("cc-by-sa",)),
@@ -74,7 +80,7 @@ RULES = (
 )
 
 #: Every known sentence has one of these, so a text without them has none.
-TRIGGER = "[Ll][Ii][Cc][Ee][Nn][Ss]|[Pp][Ee][Rr][Mm][Ii][Ss]|[Cc][Oo][Pp][Yy][Rr]|[Ww][Aa][Rr][Rr][Aa][Nn]|[Rr][Ee][Ss][Ee][Rr][Vv]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr]"
+TRIGGER = "[Ll][Ii][Cc][Ee][Nn][Ss]|[Pp][Ee][Rr][Mm][Ii][Ss]|[Cc][Oo][Pp][Yy][Rr]|[Ww][Aa][Rr][Rr][Aa][Nn]|[Rr][Ee][Ss][Ee][Rr][Vv]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr]|2[.]0"
 _BLANK = "[\\x09-\\x0D\\x20]"
 
 

@@ -111,3 +111,28 @@ def test_licenses(spark, messy, empty):
     assert got[3]["sentence_ids"] == ["cc-by-nc", "mit-short"]
     assert got[4]["licenses"] == ["Apache-2.0"] and got[10]["licenses"] == ["MIT", "Proprietary"]
     assert licenses.recognise(messy).count() == messy.count() and licenses.recognise(empty).count() == 0
+
+
+def test_known_sentences_and_rules_all_match(spark):
+    """Each known sentence alone gives its own identifier, the sentences of each rule give its licence."""
+    rows = [(k, s) for k, s in licenses.SENTENCES.items()] + [(f"rule {i}", "\n".join(licenses.SENTENCES[k] for k in ids)) for i, (_, _, ids) in enumerate(licenses.RULES)]
+    got = {r["doc_id"]: r for r in licenses.recognise(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(got[k]["sentence_ids"] == [k] for k in licenses.SENTENCES)
+    assert all(name in got[f"rule {i}"]["licenses"] for i, (name, _, _) in enumerate(licenses.RULES))
+
+
+def test_notices_with_marks_inside_a_sentence(spark):
+    gpl3 = """# This program is free software{} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v.{}{}. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    rows = [(1, gpl3.format(":")), (2, gpl3.format(";")), (3, mpl.format(" ", "2.0")), (4, mpl.format("", "2.0")), (5, mpl.format(" ", "1.1")), (6, licenses.SENTENCES["mpl-form"] + " 2.0."), (7, "Release 2.0. It is out.")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["GPL-3.0-or-later"], 2: ["GPL-3.0-or-later"], 3: ["MPL-2.0"], 4: ["MPL-2.0"], 5: [], 6: ["MPL-2.0"], 7: []}
