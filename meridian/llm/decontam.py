@@ -8,8 +8,9 @@ the threshold, then each block of items when the block's largest impacts cannot;
 all items above the threshold are retrieved. A retrieved item counts when its question and its answer both
 overlap the passage.
 
-The index is a checked size: items come to the driver in parts of PART_BYTES at most, and a larger benchmark
-means more passes over the documents, with the same result.
+The index is a checked size: items come to the driver in parts of PART_BYTES or so, and a larger benchmark
+means more passes over the documents, with the same result: item count, mean length and document frequencies are
+counted once over the whole benchmark, and all texts of an item_id lie in one part.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import slices, texts
+from meridian.llm.common import drop, slices, texts, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach to be retrieved.
@@ -74,14 +75,29 @@ class Shard:
     term_max: np.ndarray
 
 
-def build(items: list[tuple[int, str]]) -> list[Shard]:
-    """Shards of an index over items (item_id, text). Items without a word are left out."""
+@dataclass
+class Statistics:
+    """What BM25 takes from a whole benchmark: its items with a word, their mean length, the items that have a term."""
+
+    items: int
+    mean: float
+    df: dict[bytes, int]
+
+
+def statistics(words: list[list[bytes]]) -> Statistics:
+    n = sum(1 for w in words if w)
+    return Statistics(n, sum(map(len, words)) / max(1, n), Counter(t for w in words for t in set(w)))
+
+
+def build(items: list[tuple[int, str]], whole: Statistics | None = None) -> list[Shard]:
+    """Shards of an index over items (item_id, text), which are the whole benchmark unless its figures are given.
+    Items without a word are left out."""
     words = [(i, t, terms(t)) for i, t in items]
-    df = Counter(t for _, _, w in words for t in set(w))
+    whole = whole or statistics([w for _, _, w in words])
+    df, mean = whole.df, whole.mean
     # Items whose common words agree lie in one block, which keeps the blocks' largest impacts low.
     words = sorted((x for x in words if x[2]), key=lambda x: (sorted(set(x[2]), key=lambda t: (-df[t], t))[:4], x[0] is None, x[0] or 0))
-    mean = sum(len(w) for _, _, w in words) / max(1, len(words))
-    idf = {t: math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    idf = {t: math.log(1 + (whole.items - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     by_half: dict[int, list] = {}
     for x in words:
         by_half.setdefault(max(HALF, 1 << (len(x[2]) - 1).bit_length()), []).append(x)
@@ -159,14 +175,57 @@ def matches(shards: list[Shard], docs: list[list[bytes]], threshold: float, ques
     return found
 
 
-def parts(benchmark: DataFrame):
-    """The benchmark's items in parts that are known to be small."""
+def _dealt(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The benchmark's rows with a text and the part of each, all texts of an item in one; the number of parts."""
     rows = benchmark.where("text is not null").select("item_id", "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n = -(-size // PART_BYTES)
+    return rows.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(max(1, n)))), n
+
+
+def _part(rows: DataFrame, k: int) -> list[tuple[int, str]]:
+    return sorted(((r["item_id"], r["text"]) for r in rows.where(F.col("part") == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def parts(benchmark: DataFrame):
+    """The benchmark's items in parts that are known to be small."""
+    rows, n = _dealt(benchmark)
+    for k in range(n):
+        yield _part(rows, k)
+
+
+def _tallies(rows: DataFrame) -> DataFrame:
+    """(part, term, items, words): the items of a part that have a term; those with any word where it is null, and their words."""
+    schema = "part long, term binary, items long, words long"
+
+    def run(batches):
+        for b in slices(batches):
+            items, words = Counter(), Counter()
+            for part, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+                w = terms(text)
+                if w:
+                    items.update((part, t) for t in {None, *w})
+                    words[part, None] += len(w)
+            columns = [[p for p, _ in items], [t for _, t in items], list(items.values()), [words[x] for x in items]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["part", "term", "items", "words"])
+
+    return rows.select("part", "text").mapInArrow(run, schema).groupBy("part", "term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"))
+
+
+def indexes(benchmark: DataFrame):
+    """The shards of each part of the benchmark, with the figures of the whole for the part's terms."""
+    rows, n = _dealt(benchmark)
+    if n < 2:
+        yield from (build(_part(rows, k)) for k in range(n))
+        return
+    table = written(_tallies(rows), "benchmark-terms")
+    total = table.where("term is null").agg(F.sum("items").alias("items"), F.sum("words").alias("words")).first()
+    items, words = total["items"] or 0, total["words"] or 0
+    whole = table.where("term is not null").groupBy("term").agg(F.sum("items").alias("df"))
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        own = table.where(F.col("part") == k).select("term").join(whole, "term")
+        yield build(_part(rows, k), Statistics(items, words / max(1, items), {bytes(r["term"]): r["df"] for r in own.collect()}))
+    drop(table)
 
 
 def _groups(batches, at: int):
@@ -187,11 +246,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     """Verified matches of documents(doc_id, text) with benchmark(item_id, text); see SCHEMA. word: where the passage starts.
 
     A row for each document row and item, with its best passage. Null and empty texts match nothing; items without
-    a word match nothing; BM25 statistics are those of a part of the benchmark. Other columns are ignored.
+    a word match nothing; BM25 statistics are those of the whole benchmark. Other columns are ignored.
     """
     out = documents.sparkSession.createDataFrame([], SCHEMA)
-    for items in parts(benchmark):
-        shards = build(items)
+    for shards in indexes(benchmark):
 
         def run(batches, shards=shards):
             for b, held in _groups(batches, 1):
@@ -206,8 +264,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 def clean_documents(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
     """documents without the rows that match an item, columns as they are; row by row, so nothing is joined."""
     schema, at = documents.schema, documents.columns.index("text")
-    for items in parts(benchmark):
-        shards = build(items)
+    for shards in indexes(benchmark):
 
         def run(batches, shards=shards):
             for b, held in _groups(batches, at):

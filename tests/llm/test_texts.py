@@ -193,6 +193,26 @@ def test_a_large_benchmark_takes_more_passes(spark, monkeypatch):
     assert sorted(i for p in decontam.parts(bench) for i, _ in p) == sorted(i for i, t in ITEMS if t is not None)
 
 
+def test_parts_of_a_benchmark_match_as_the_whole(spark, monkeypatch):
+    r = random.Random(8)
+    items = [*ITEMS, (3, prose(33, 77)), (None, prose(35, 78)), (None, prose(35, 79))]
+    rows = []
+    for n in range(120):
+        item = r.choice([t for _, t in items if t and len(t) > 50]).split()
+        for _ in range(r.randint(0, len(item) * 2 // 3)):
+            item[r.randrange(len(item))] = "changed"
+        rows.append((n, " ".join(prose(r.randint(0, 90), 3000 + n).split() + item)))
+    rows += [(500, items[3][1] + " " + prose(33, 77))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(repr, decontam.contaminated(docs, bench, 0.4, 0.2, 0.2).collect()))
+    kept = sorted(x["doc_id"] for x in decontam.clean_documents(docs, bench).collect())
+    monkeypatch.setattr(decontam, "PART_BYTES", 900)
+    assert decontam._dealt(bench)[1] > 5 and len(one) > 60
+    assert sorted(map(repr, decontam.contaminated(docs, bench, 0.4, 0.2, 0.2).collect())) == one
+    assert sorted(x["doc_id"] for x in decontam.clean_documents(docs, bench).collect()) == kept
+
+
 # Language
 
 
