@@ -7,31 +7,87 @@ n-grams come from the same SQL expression as those of the URLs it judges, and sc
 from __future__ import annotations
 
 import math
+import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Buckets of the feature hash; n-gram sizes; labelled rows that a fit takes at most.
-BUCKETS = 4096
+BUCKETS = 65536
 SIZES = (3, 4, 5)
 MAX_LABELLED = 2000
+#: Probability from which a URL is blocked; weight of an allowed URL in a fit, as a false block costs more than a miss.
+THRESHOLD, ALLOW_WEIGHT = 0.5, 6.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Words of hosts and paths that a labelled URL is built from.
-BLOCK_WORDS = ("casino", "poker", "jackpot", "betting", "xxx", "porn", "nude", "escort", "pills", "viagra", "payday-loan", "warez", "torrent", "crack", "keygen", "free-gift", "click-here", "spam", "malware", "phishing")
-ALLOW_WORDS = ("news", "wiki", "docs", "blog", "library", "university", "museum", "science", "health", "recipes", "garden", "history", "weather", "travel", "school", "journal", "archive", "forum", "research", "sports")
+#: Words of hosts and paths that a labelled URL is built from: games of chance, adult content, drugs, loans, pirated
+#: goods, bait and junk, attacks, advertising and tracking; and what ordinary hosts and paths are named after.
+BLOCK_WORDS = (
+    "casino", "poker", "jackpot", "betting", "bets", "gambling", "roulette", "slots", "bingo", "bookmaker", "lottery",
+    "xxx", "porn", "nude", "escort", "adult", "sex", "erotic", "webcam-girls", "hentai", "milf", "fetish", "camgirl", "nsfw",
+    "pills", "viagra", "cialis", "steroids", "pharmacy-cheap", "weightloss-pill", "xanax",
+    "payday-loan", "quick-cash", "get-rich", "forex-profit", "crypto-giveaway", "binary-options",
+    "warez", "torrent", "crack", "keygen", "serial-key", "nulled", "pirate", "replica-watches",
+    "free-gift", "click-here", "spam", "linkfarm", "win-prize", "freebies", "clickbait", "backlinks",
+    "malware", "phishing", "trojan", "botnet", "ransomware", "verify-account", "scam", "hoax-login",
+    "ads", "adserver", "adclick", "banner-ads", "popunder", "track", "tracker", "tracking-pixel", "doubleclick", "beacon-ad",
+)
+ALLOW_WORDS = (
+    "news", "wiki", "docs", "blog", "library", "university", "museum", "science", "health", "recipes", "garden", "history",
+    "weather", "travel", "school", "journal", "archive", "forum", "research", "sports", "music", "books", "cinema", "theatre",
+    "kitchen", "farm", "market", "city", "council", "government", "hospital", "pharmacy", "bank", "insurance", "hotel",
+    "railway", "airport", "bicycle", "football", "chess", "astronomy", "biology", "chemistry", "physics", "maths", "language",
+    "dictionary", "poetry", "painting", "design", "software", "download", "support", "manual", "careers", "events", "calendar",
+    "photos", "video", "radio", "adventure", "address", "admin", "trade", "traffic", "beta", "better", "alphabet", "bread",
+    "home", "house", "family", "children", "people", "story", "letter", "paper", "pencil", "table", "chair", "flower", "tree", "animal",
+    "water", "ocean", "desert", "valley", "country", "region", "county", "street", "station", "bridge", "tower", "palace", "temple",
+    "kingdom", "nation", "festival", "concert", "dance", "song", "singer", "actor", "writer", "artist", "author", "editor", "reader",
+    "student", "college", "academy", "course", "lesson", "exam", "degree", "training", "workshop", "meeting", "conference", "society",
+    "medicine", "doctor", "nurse", "clinic", "surgery", "fitness", "yoga", "cooking", "baking", "dinner", "coffee", "cheese", "apple",
+    "orange", "lemon", "cherry", "butter", "sugar", "restaurant", "tavern", "vineyard", "brewery", "shopping", "fashion", "jewelry",
+    "clothing", "leather", "furniture", "lighting", "heating", "electric", "engine", "motor", "vehicle", "truck", "tractor", "boating",
+    "marine", "naval", "military", "police", "justice", "court", "legal", "finance", "economy", "business", "industry", "factory",
+    "company", "office", "service", "delivery", "logistics", "transport", "shipping", "energy", "solar", "climate", "nature", "wildlife",
+    "bird", "horse", "fisher", "hunter", "camping", "climbing", "skiing", "skating", "racing", "rowing", "golf", "basketball", "volley",
+    "computer", "network", "internet", "server", "database", "program", "python", "engineer", "machine", "robot", "electronics",
+    "mathematics", "geometry", "statistics", "philosophy", "religion", "culture", "heritage", "anthropology", "sociology", "genealogy",
+    "essex", "sextant", "winter", "window", "spa", "crackers", "traction", "attraction", "cheap-flights", "free-software", "open-source",
+)
+_TOPS, _SUBS = ("com", "net", "org", "io", "example.com", "example.net", "example.org"), ("", "", "www.", "m.", "blog.", "shop.")
+_PLACES = ("en", "de", "fr", "es", "about", "articles/2024", "posts/2023", "category", "item", "view")
+_TAILS = ("", "/", ".html", "/index.html", "/page.html", "/view")
+#: Pairs of labelled URLs of a block word.
+_PAIRS = 14
+
+
+def _name(draw: random.Random) -> str:
+    """An invented name, which says nothing of a host or path."""
+    return "".join(draw.choice("bdfglmnprstvwhkcjz") + draw.choice(("", "", "h", "r", "l")) + draw.choice("aeiou") + draw.choice(("", "n", "r", "s", "l", "nd", "t")) for _ in range(draw.randint(1, 3)))
 
 
 def labelled_urls() -> list[tuple[str, str]]:
-    """The small labelled table: each word as host, as subdomain and as path, under every kind of top domain."""
-    out = []
-    for label, words in (("block", BLOCK_WORDS), ("allow", ALLOW_WORDS)):
-        for i, w in enumerate(words):
-            other = words[(i + 7) % len(words)]
-            top = ("com", "net", "org")[i % 3]
-            out += [(f"https://{w}.example.{top}/{other}/{i}", label), (f"http://www.{w}-{other}.{top}/", label), (f"https://site{i}.example.{top}/{w}/{other}.html", label)]
-    return out
+    """The labelled table, always the same: pairs of URLs that differ in one place alone, where one has a block word
+    and the other an ordinary word or an invented name, so that nothing else tells the labels apart."""
+    draw, out = random.Random(7), []
+
+    def plain() -> str:
+        return draw.choice((_name(draw), _name(draw), draw.choice(ALLOW_WORDS), draw.choice(ALLOW_WORDS), f"{_name(draw)}-{draw.choice(ALLOW_WORDS)}"))
+
+    def host(core: str) -> str:
+        return f"http{draw.choice(('', 's'))}://{draw.choice(_SUBS)}{core}.{draw.choice(_TOPS)}"
+
+    def path() -> str:
+        return draw.choice((f"/{draw.choice(_PLACES)}/{draw.randint(1, 9999)}", f"/{draw.choice(_PLACES)}/{plain()}", f"/{plain()}/{draw.randint(1, 9999)}", f"/{plain()}", ""))
+
+    for i in range(_PAIRS * len(BLOCK_WORDS)):
+        name = plain()
+        spot = draw.choice(("{}", "{}", f"{{}}-{name}", f"{name}-{{}}", f"{name}{{}}", f"{{}}{name}"))
+        url = (host(spot) + path() if i // 2 % 2 else f"{host(plain())}{path()}/{spot}{path()}") + draw.choice(_TAILS)
+        out.append((url.format(BLOCK_WORDS[i // _PAIRS]), url.format(plain())))
+    # Two pairs alternate, so that every other row has whole pairs and both labels.
+    return [(u, label) for two in zip(out[::2], out[1::2], strict=True) for at, label in enumerate(("block", "allow")) for u in (two[0][at], two[1][at])]
 
 
 def lower_ascii(c: Column) -> Column:
@@ -49,18 +105,18 @@ def path_of(url: Column) -> Column:
 
 
 def buckets(host: Column, path: Column) -> Column:
-    """Hash buckets of all character n-grams; host and path have ends and names of their own."""
-    marked = {"h": F.concat(F.lit("h^"), host, F.lit("$")), "p": F.concat(F.lit("p^"), lower_ascii(path), F.lit("$"))}
-    return F.concat(*[_grams(text, n, name) for name, text in marked.items() for n in SIZES])
+    """Hash buckets of all character n-grams of host and path, whose beginnings differ; a word counts alike in either."""
+    marked = (F.concat(F.lit("h^"), host, F.lit("$")), F.concat(F.lit("p^"), lower_ascii(path), F.lit("$")))
+    return F.concat(*[_grams(text, n) for text in marked for n in SIZES])
 
 
-def _grams(text: Column, n: int, name: str) -> Column:
+def _grams(text: Column, n: int) -> Column:
     places = F.when(F.length(text) >= n + 1, F.sequence(F.lit(2), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n)), F.lit(name)), F.lit(BUCKETS)).cast("int"))
+    return F.transform(places, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
 
 
-def fit(spark: SparkSession, labelled: list[tuple[str, str]] | None = None, rounds: int = 300, rate: float = 8.0, decay: float = 1e-4) -> tuple[list[float], float]:
-    """Weights and bias by gradient descent on the log loss; block is the positive label."""
+def fit(spark: SparkSession, labelled: list[tuple[str, str]] | None = None, rounds: int = 300, rate: float = 0.1, decay: float = 1e-5) -> tuple[list[float], float]:
+    """Weights and bias by Adam on the weighted log loss, all rows in every step; block is the positive label."""
     labelled = labelled if labelled is not None else labelled_urls()
     if len(labelled) > MAX_LABELLED:
         raise ValueError(f"at most {MAX_LABELLED} labelled URLs")
@@ -68,25 +124,21 @@ def fit(spark: SparkSession, labelled: list[tuple[str, str]] | None = None, roun
         return [0.0] * BUCKETS, 0.0
     table = spark.createDataFrame(labelled, "url string, label string")
     rows = table.select(buckets(host_of(F.col("url")), path_of(F.col("url"))).alias("b"), (F.col("label") == "block").alias("y")).collect()
-    data = []
-    for r in rows:
-        tf: dict[int, float] = {}
-        for b in r["b"]:
-            tf[b] = tf.get(b, 0.0) + 1.0 / math.sqrt(len(r["b"]))
-        data.append((tf, 1.0 if r["y"] else 0.0))
-    w, bias = [0.0] * BUCKETS, 0.0
-    for _ in range(rounds):
-        grad, gb = {}, 0.0
-        for tf, y in data:
-            z = bias + sum(w[b] * x for b, x in tf.items())
-            e = 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))) - y
-            gb += e
-            for b, x in tf.items():
-                grad[b] = grad.get(b, 0.0) + e * x
-        for b, g in grad.items():
-            w[b] -= rate * (g / len(data) + decay * w[b])
-        bias -= rate * gb / len(data)
-    return w, bias
+    row = np.repeat(np.arange(len(rows)), [len(r["b"]) for r in rows])
+    col = np.array([b for r in rows for b in r["b"]], np.int64)
+    x = np.array([1.0 / math.sqrt(len(r["b"])) for r in rows for _ in r["b"]])
+    y = np.array([r["y"] for r in rows], np.float64)
+    share = np.where(y > 0, 1.0, ALLOW_WEIGHT)
+    share /= share.sum()
+    w = np.zeros(BUCKETS + 1)  # the last is the bias
+    m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    for t in range(1, rounds + 1):
+        z = w[-1] + np.bincount(row, weights=w[col] * x, minlength=len(rows))
+        e = (1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0))) - y) * share
+        grad = np.append(np.bincount(col, weights=e[row] * x, minlength=BUCKETS) + decay * w[:-1], e.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w -= rate * (m / (1.0 - 0.9**t)) / (np.sqrt(v / (1.0 - 0.999**t)) + 1e-10)
+    return w[:-1].tolist(), float(w[-1])
 
 
 def probability(host: Column, path: Column, model: tuple[list[float], float]) -> Column:
@@ -110,7 +162,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return (null, null) if name is None else (name.otherwise(null), verdict.otherwise(null))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: tuple[list[float], float], threshold: float = 0.65) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: tuple[list[float], float], threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, probability) of pages(page_id, url).
 
     A null URL and one without :// have empty host and path, which the model judges as any other. Repeated rows

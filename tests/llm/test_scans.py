@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -96,6 +97,32 @@ def test_url_model_generalises(spark):
     assert sum((r["p"] >= 0.5) == (r["label"] == "block") for r in p) >= 0.8 * len(p)
 
 
+def held_out_urls():
+    """Block words in hosts, paths and layouts that no labelled URL has; URLs of other invented names and of other words."""
+    draw = random.Random(2024)
+    syllables = "gru mel tok vash ine ober quen lis dar fen illo psy urm yat cor bex anth ivo sul ewe".split()
+    words = "clockwork umbrella thermometer pumpkin blanket volcano glacier sandstone telescope violin harpsichord mushroom walnut pancake cinnamon tortoise penguin elephant squirrel dolphin carpentry masonry weaving sculpture calligraphy opinion parliament senate embassy treaty passport luggage suitcase timetable platform escalator".split()
+
+    def name():
+        return "".join(draw.choice(syllables) for _ in range(draw.randint(2, 4)))
+
+    bad = [u for w in urls.BLOCK_WORDS for u in (f"http://m.{w}-{name()}.example.com/en/{draw.randint(1, 9999)}.html", f"https://www.{name()}.net/articles/2024/{w}/page.html", f"https://{name()}{w}.io/{name()}/{draw.randint(1, 99)}", f"https://shop.{name()}.org/about/{name()}/{w}-{name()}/view")]
+    names = [f"https://{draw.choice(('', 'www.', 'm.'))}{name()}.{draw.choice(('com', 'org', 'example.net'))}/{draw.choice(('en', 'articles/2024', 'shop'))}/{name()}/{draw.randint(1, 9999)}{draw.choice(('', '.html'))}" for _ in range(600)]
+    other = [u for w in words for u in (f"https://www.{w}.org/about/{draw.randint(1, 99)}", f"https://{name()}.com/articles/2024/{w}/page.html", f"http://{w}-{name()}.example.net/en/{draw.randint(1, 9999)}.html")]
+    return {"bad": bad, "names": names, "words": other}
+
+
+def test_url_model_on_held_out_urls(spark):
+    assert len(urls.labelled_urls()) <= urls.MAX_LABELLED
+    rows = [(k, u) for k, us in held_out_urls().items() for u in us]
+    rows += [("page", "https://www.ordinary.example.com/articles/2024/porn/page.html"), ("page", "http://m.casino-winner.example.com/en/4033.html")]
+    assert not {u for _, u in rows} & {u for u, _ in urls.labelled_urls()}
+    pages = spark.createDataFrame(rows, "page_id string, url string")
+    judged = urls.judge(pages, [], urls.fit(spark)).groupBy("page_id").agg(F.avg((F.col("verdict") == "block").cast("int")).alias("share"))
+    share = {r["page_id"]: r["share"] for r in judged.collect()}
+    assert share["bad"] >= 0.8 and share["names"] <= 0.05 and share["words"] <= 0.15 and share["page"] == 1.0
+
+
 def test_every_known_sentence_has_a_trigger_and_a_rule():
     assert all(re.search(licenses.TRIGGER, s) for s in licenses.SENTENCES.values())
     assert {i for _, _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES)
