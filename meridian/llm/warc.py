@@ -33,6 +33,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RUN = "run string, seq long, urlkey string, timestamp string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long, size long"
 _RUN_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 _RUN_NAMES = [f.split(" ")[0] for f in RUN.split(", ")]
+INDEX = RUN.split(", ", 2)[2] + ", history int, place long"
+_INDEX_TYPES, _INDEX_NAMES = [*_RUN_TYPES[2:], pa.int32(), pa.int64()], [*_RUN_NAMES[2:], "history", "place"]
 
 
 def url_key(url: str) -> str:
@@ -219,8 +221,8 @@ def loser_tree(runs: list[list[list]], key) -> Iterator[list]:
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """The captures of written, sorted runs as one globally ordered history, with `history`, the number of the
-    range a row is in: order by it, then by place in the partition."""
+    """The captures of written, sorted runs as one globally ordered history; see INDEX. `history` is the number of the
+    range a row is in and `place` its place there: by them the order is read after any write or shuffle."""
     spark = runs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
     keys = ["urlkey", "timestamp", "page_id", "path", "offset"]
@@ -228,22 +230,23 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     def run(batches):
         by: dict[str, list[list]] = {}
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                by.setdefault(r[0], []).append(list(r[2:]))
+            for *r, history in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                by.setdefault(r[0], []).append(r[2:])
         out = []
-        for r in loser_tree([by[p] for p in sorted(by)], _order):
-            out.append(r)
+        for place, r in enumerate(loser_tree([by[p] for p in sorted(by)], _order)):
+            out.append([*r, history, place])
             if len(out) == 4096:
                 yield _merged(out)
                 out = []
         if out:
             yield _merged(out)
 
-    return runs.repartitionByRange(n, *keys).sortWithinPartitions("run", "seq").mapInArrow(run, RUN.split(", ", 2)[2])
+    ranges = runs.repartitionByRange(n, *keys).sortWithinPartitions("run", "seq").withColumn("history", F.spark_partition_id())
+    return ranges.mapInArrow(run, INDEX)
 
 
 def _merged(rows: list[list]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RUN_TYPES[2:], strict=True)], names=_RUN_NAMES[2:])
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _INDEX_TYPES, strict=True)], names=_INDEX_NAMES)
 
 
 def index(manifest: DataFrame) -> DataFrame:

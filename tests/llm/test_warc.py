@@ -46,6 +46,15 @@ def test_history_is_in_order(spark, rows):
     assert flat == sorted(flat) and len(flat) == len(rows)
 
 
+def test_history_survives_a_write(spark, rows, tmp_path):
+    index = warc.index(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), archive_bytes=8000))
+    index.repartition(7, "payload_digest").write.parquet(str(tmp_path / "index"))
+    got = spark.read.parquet(str(tmp_path / "index")).collect()
+    assert len({(r["history"], r["place"]) for r in got}) == len(got) == len(rows) and len({r["history"] for r in got}) > 1
+    keys = [(r["urlkey"], r["timestamp"], r["page_id"] is not None, r["page_id"] or 0) for r in sorted(got, key=lambda r: (r["history"], r["place"]))]
+    assert keys == sorted(keys)
+
+
 def test_no_pages(spark):
     index = warc.index(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string")))
     assert index.count() == 0
