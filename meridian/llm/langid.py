@@ -21,6 +21,8 @@ SAMPLE_TEXTS, DICTIONARY_BYTES, MAX_LANGUAGES = 200, 112 * 1024, 256
 LEVEL, MIN_MATCH = 6, 3
 #: Bytes compressed at a time, so that a long text is judged by the dictionary throughout.
 BLOCK = 8192
+#: Bytes of a block of a text in a dictionary.
+PIECE = 192
 #: Share by which the best size must be below the second.
 MARGIN = 0.01
 UNDETERMINED = "und"
@@ -38,17 +40,31 @@ def _share(h: str) -> Column:
     return F.col(h) / F.lit(2.0**64) + F.lit(0.5)
 
 
+def _pieces(share: Column) -> Column:
+    """What a text gives to a dictionary within share bytes: itself, or blocks spread over all of it, in order."""
+    n = F.ceil(share / F.lit(PIECE)).cast("int")
+    long = F.ceil(share / n).cast("int")
+    stretch = F.floor(F.length("text") / n).cast("int")
+    at = lambda k: k * stretch + F.pmod(F.xxhash64("h", k), F.greatest(stretch - long + 1, F.lit(1))).cast("int") + 1
+    spread = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col("text"), at(k), long))
+    return F.when(F.octet_length("text") <= share, F.array("text")).otherwise(spread)
+
+
 def fit(labelled: DataFrame, texts_each: int = SAMPLE_TEXTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language from labelled(doc_id, text, lang): of each language, the texts of least hash.
 
-    Each text gives an equal share of the dictionary. At most texts_each texts of each of MAX_LANGUAGES languages
-    reach the driver; more languages are an error. Rows with null text, lang or doc_id teach nothing.
+    Each text taken gives an equal share of its language's dictionary: all of it if it fits, else blocks of PIECE bytes
+    or so, one at a place by hash in each of equal stretches of the whole text. Those of at most texts_each texts of
+    each of MAX_LANGUAGES languages reach the driver; more languages are an error. Rows with null text, lang or doc_id
+    teach nothing.
     """
     rows = labelled.where("text is not null and lang is not null and doc_id is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = max(1, size // texts_each)
+    if not counts:
+        return {}
+    share = {r["lang"]: max(1, size // min(texts_each, r["n"])) for r in counts}
     w = Window.partitionBy("lang").orderBy("h")
     # Only hashes that can be among the least go on: a few times texts_each rows a language, however many there are.
     near = F.lit(False)
@@ -56,17 +72,14 @@ def fit(labelled: DataFrame, texts_each: int = SAMPLE_TEXTS, size: int = DICTION
         near = near | ((F.col("lang") == r["lang"]) & (_share("h") <= min(1.0, 4.0 * texts_each / r["n"])))
     picked = [rows.where(near), rows]
     for source in picked:
-        best = source.withColumn("r", F.row_number().over(w)).where(F.col("r") <= texts_each).select("lang", "r", F.substring("text", 1, 4 * share).alias("text")).collect()
+        best = source.withColumn("r", F.row_number().over(w)).where(F.col("r") <= texts_each).select("lang", "r", _pieces(F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]).alias("pieces")).collect()
         if len(best) == sum(min(texts_each, r["n"]) for r in counts):
             break
     by: dict[str, list] = {}
     for r in sorted(best, key=lambda r: (r["lang"], r["r"])):
-        by.setdefault(r["lang"], []).append(r["text"].lower().encode())
-    out = {}
-    for lang, parts in by.items():
-        each = max(share, size // len(parts))
-        out[lang] = b"\n".join(p[:each] for p in parts)[-size:]
-    return out
+        each = -(-share[r["lang"]] // len(r["pieces"]))
+        by.setdefault(r["lang"], []).append(b"\n".join(p.lower().encode()[:each] for p in r["pieces"]))
+    return {lang: b"\n".join(parts)[-size:] for lang, parts in by.items()}
 
 
 class Classifier:

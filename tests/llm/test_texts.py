@@ -228,3 +228,15 @@ def test_language(spark, empty):
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and all(got[i]["rejected"] for i in (1, 2, 3)) and got[5]["lang_pred"] in model
     assert langid.predict(empty, model).count() == 0
     assert langid.fit(docs.limit(0)) == {} and langid.predict(rows, {}).where("lang_pred <> 'und'").count() == 0
+
+
+def test_dictionaries_are_taken_from_whole_texts(spark):
+    body = {n: prose(4000, n) for n in range(10)}
+    rows = [(n, "common header " * 300 + body[n] + f" tail{n}", "en") for n in range(10)] + [(n, "é" * 900 + "ü" * 900, "de") for n in range(10, 300)] + [(500, "short", "fr")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    en = model["en"].decode()
+    assert 0.95 * langid.DICTIONARY_BYTES <= len(model["en"]) <= langid.DICTIONARY_BYTES and en.count("header") * 14 < len(en) / 3
+    for n, t in body.items():
+        words = t.lower().split()
+        assert all(sum(" ".join(words[i : i + 6]) in en for i in range(at, at + 1000)) > 50 for at in (0, 1000, 2000, 2990))
+    assert model["fr"] == b"short" and abs(model["de"].count("é".encode()) - model["de"].count("ü".encode())) < len(model["de"]) / 8
