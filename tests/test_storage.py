@@ -208,6 +208,13 @@ def test_graph_recall(metric):
     assert hits >= 0.95 * 500
 
 
+@pytest.mark.parametrize("metric", ["L2", "COSINE"])
+def test_recall_of_walked_graphs(metric, monkeypatch):
+    """Graphs as they are linked beyond SCAN_POINTS: by the beam, whose width is below the number of points."""
+    monkeypatch.setattr(hnsw, "SCAN_POINTS", 0)
+    test_graph_recall(metric)
+
+
 def test_graph_edges():
     assert hnsw.Graph(np.zeros(0, np.int64), np.zeros((0, 2))).search([1, 1], 3, 10) == []
     one = hnsw.Graph(np.array([5]), np.array([[1.0, 1.0]]))
