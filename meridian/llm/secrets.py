@@ -4,6 +4,9 @@ Strong kinds are reported wherever they match. Weak kinds (an account name, a sh
 an endpoint) are ordinary text by themselves: they are interval-joined with the parts that would complete a
 credential, and reported only when those lie within the same scope, `scope` code points on either side. A
 document's candidates are joined inside its row, so nothing is shuffled and no group is gathered.
+
+The interval join is a sort and two scans: a part touches a span if the furthest end before it reaches the span or
+if the next start after it does. Scans run block by block, so a text takes time in proportion to its length and spans.
 """
 
 from __future__ import annotations
@@ -38,59 +41,105 @@ IDENTIFIERS, SECRETS = ("access", "user"), ("assign", "hex", "pass")
 SCOPE = 200
 
 _SPAN = "struct<start:bigint,ord:int,end:bigint>"
+_LOW, _HIGH = -(1 << 62), 1 << 62
+#: Elements of a block of a scan, and code points of a piece of a text.
+_BLOCK, _CHUNK = 256, 1024
+
+
+def _scans(found: DataFrame, scans: dict[str, tuple[str, str, int]]) -> DataFrame:
+    """Adds columns by name: for each element of an array of bigints, the values before it joined by an expression of a
+    and b, from a first value on.
+
+    Each block is scanned by itself from what the blocks before it come to, since an array that grows by single
+    elements is copied each time. Steps are columns, which are computed once, and SQL text, which is soon parsed.
+    """
+    kept = [f"`{c}`" for c in found.columns]
+
+    def plain(xs: str, first: str, join: str) -> str:
+        start = f"named_struct('a', {first}, 'out', cast(array() as array<bigint>))"
+        return f"aggregate({xs}, {start}, (s, x) -> named_struct('a', {join.format(a='s.a', b='x')}, 'out', concat(s.out, array(s.a)))).out"
+
+    def cut(xs: str) -> str:
+        return f"CASE WHEN size({xs}) > 0 THEN transform(sequence(0, (size({xs}) - 1) div {_BLOCK}), k -> slice({xs}, cast(k * {_BLOCK} + 1 as int), {_BLOCK})) END"
+
+    def firsts(xs: str, join: str, zero: str) -> str:
+        return plain(f"transform({xs}, y -> aggregate(y, {zero}, (s, x) -> {join.format(a='s', b='x')}))", zero, join)
+
+    found = found.selectExpr(*kept, *[f"{values} as {n}" for n, (values, _, _) in scans.items()])
+    found = found.selectExpr(*kept, *[f"{cut(n)} as {n}" for n in scans])
+    found = found.selectExpr(*kept, *scans, *[f"{firsts(n, join, f'{zero}L')} as {n}_from" for n, (_, join, zero) in scans.items()])
+    return found.selectExpr(*kept, *[f"coalesce(flatten(zip_with({n}, {n}_from, (y, f) -> {plain('y', 'f', join)})), cast(array() as array<bigint>)) as {n}" for n, (_, join, _) in scans.items()])
+
+
+_SUM, _LARGER, _SMALLER = "{a} + {b}", "greatest({a}, {b})", "least({a}, {b})"
 
 
-def _placed(text: Column, matches: Column, pattern: str, group: int, least: int, order: int) -> Column:
-    """Spans of a pattern's matches: the texts between them and the matches give the places."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("g"), matches.alias("m"), values.alias("v")), lambda x: F.struct(F.length(x["g"]).cast("long").alias("g"), F.length(x["m"]).cast("long").alias("m"), F.length(x["v"]).alias("v")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+def _in(kinds: tuple[str, ...]) -> str:
+    """Whether a span s is of one of the kinds."""
+    return f"s.ord in ({', '.join(str(KINDS.index(k)) for k in kinds)})"
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["g"]
-        span = F.array(F.struct(a.alias("start"), F.lit(order).alias("ord"), (a + x["m"]).alias("end")))
-        return F.struct((a + x["m"]).alias("at"), F.when(x["v"] >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(sizes, start, step)["out"]
+_STRONG = _in(tuple(k[0] for k in STRONG))
+
+
+def _touches(found: DataFrame, asked: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds a column by name to rows with sorted `spans`, computed where `weak` holds: for each span, whether another s
+    that is a part, by the condition given, lies within so many code points of it."""
+    kept, scans = found.columns, {}
+
+    def edge(part: str, field: str, other: int) -> str:
+        return f"transform(spans, s -> CASE WHEN {part} THEN s.{field} ELSE {other}L END)"
+
+    for name, (part, _) in asked.items():
+        scans[f"{name}_e"] = (f"CASE WHEN weak THEN {edge(part, 'end', _LOW)} END", _LARGER, _LOW)
+        scans[f"{name}_s"] = (f"CASE WHEN weak THEN reverse({edge(part, 'start', _HIGH)}) END", _SMALLER, _HIGH)
+    near = "CASE WHEN weak THEN zip_with(spans, zip_with({n}_e, reverse({n}_s), (e, s) -> struct(e, s)), (x, y) -> y.e >= x.start - {d} or y.s <= x.end + {d}) END as {n}"
+    return _scans(found, scans).selectExpr(*kept, *[near.format(n=name, d=f"({scope})") for name, (_, scope) in asked.items()])
+
+
+def _where(keep: str) -> str:
+    """The spans of a row for whose element s, with the marks m beside it, a condition holds."""
+    return f"CASE WHEN weak THEN transform(filter(zip_with(spans, marks, (s, m) -> struct(s, {keep} as k)), x -> x.k), x -> x.s) ELSE spans END as spans"
 
 
 def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.filter(spans, lambda s: s["ord"].isin([KINDS.index(k) for k in kinds]))
 
 
-def _near(span: Column, parts: Column, scope: int) -> Column:
-    return F.exists(parts, lambda p: (p["start"] <= span["end"] + scope) & (p["end"] >= span["start"] - scope))
+def _scanned(documents: DataFrame, scope: int, text: str) -> tuple[DataFrame, list[str]]:
+    """The rows with their columns renamed, which are listed, then `t` (the text, null as empty) and `spans`."""
+    own = [f"c{i}" for i in range(len(documents.columns))]
+    found = documents.toDF(*own)
+    found = found.select(*own, F.coalesce(F.col(own[documents.columns.index(text)]), F.lit("")).alias("t"))
+    kinds = list(enumerate(STRONG + WEAK))
+    found = found.select("*", *[F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(f"m{i}") for i, (_, p, _, _) in kinds])
+    # Of the texts with a match: the gaps between matches, and what counts of each.
+    found = found.select("*", *[F.when(F.size(f"m{i}") > 0, F.split("t", p, -1)).alias(f"g{i}") for i, (_, p, _, _) in kinds], *[F.when(F.size(f"m{i}") > 0, F.regexp_extract_all("t", F.lit(p), F.lit(g))).alias(f"v{i}") for i, (_, p, g, _) in kinds])
+    sized = "zip_with(slice(g{i}, 1, size(m{i})), zip_with(m{i}, v{i}, (m, v) -> struct(cast(length(m) as bigint) as m, length(v) as v)), (g, x) -> named_struct('g', cast(length(g) as bigint), 'm', x.m, 'v', x.v)) as z{i}"
+    found = found.selectExpr(*own, "t", *[sized.format(i=i) for i, _ in kinds])
+    found = _scans(found, {f"p{i}": (f"transform(z{i}, x -> x.g + x.m)", _SUM, 0) for i, _ in kinds})
+    placed = "coalesce(transform(filter(zip_with(z{i}, p{i}, (x, y) -> struct(y + x.g as start, y + x.g + x.m as end, x.v as v)), s -> s.v >= {n}), s -> named_struct('start', s.start, 'ord', {i}, 'end', s.end)), cast(array() as array<" + _SPAN + ">)) as s{i}"
+    found = found.selectExpr(*own, "t", *[placed.format(i=i, n=n) for i, (_, _, _, n) in kinds])
+    weak = " + ".join(f"size(s{i})" for i in range(len(STRONG), len(kinds)))
+    found = found.selectExpr(*own, "t", f"sort_array(concat({', '.join(f's{i}' for i, _ in kinds)})) as spans", f"{weak} > 0 as weak")
+    # A weak part that overlaps a strong one is none.
+    found = _touches(found, {"marks": (_STRONG, -1)}).selectExpr(*own, "t", "weak", _where(f"{_STRONG} or not m"))
+    found = _touches(found, {"near_id": (_in(IDENTIFIERS), scope), "near_key": (_in(SECRETS), scope)})
+    found = found.selectExpr(*own, "t", "weak", "spans", "CASE WHEN weak THEN zip_with(near_id, near_key, (i, k) -> struct(i, k)) END as marks")
+    complete = f"CASE WHEN {_STRONG} THEN true WHEN {_in(('user',))} THEN m.k WHEN {_in(('pass',))} THEN m.i ELSE m.i and m.k END"
+    return found.selectExpr(*own, "t", _where(complete)), own
 
 
 def scan(documents: DataFrame, scope: int = SCOPE, text: str = "text") -> DataFrame:
     """Adds `secret_spans`, an array of (start, ord, end) by start, then kind; ord is the place in KINDS.
 
-    Places are code points, end exclusive. Null text has none. All rows and columns stay, except that a column
-    named secret_spans is replaced.
+    Places are code points, end exclusive. Null and empty texts have none; repeated rows are scanned each; a very long
+    text takes time in proportion to its length and spans. All rows and columns stay, whatever the columns' names,
+    except that a column named secret_spans is replaced.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    found = documents.drop("secret_spans")
-    keep = found.columns
-    found = found.select("*", t.alias("__text")).select("*", *[F.regexp_extract_all("__text", F.lit(p), F.lit(0)).alias(f"__m{i}") for i, (_, p, _, _) in enumerate(STRONG + WEAK)])
-    none = F.array().cast(f"array<{_SPAN}>")
-    spans = [F.when(F.size(f"__m{i}") > 0, _placed(F.col("__text"), F.col(f"__m{i}"), p, g, n, i)).otherwise(none).alias(f"__s{i}") for i, (_, p, g, n) in enumerate(STRONG + WEAK)]
-    found = found.select(*keep, *spans)
-    n = len(STRONG)
-    strong = F.concat(*[F.col(f"__s{i}") for i in range(n)])
-    weak = F.concat(*[F.col(f"__s{i}") for i in range(n, n + len(WEAK))])
-    found = found.select(*keep, strong.alias("__strong"), weak.alias("__all"))
-    apart = F.filter("__all", lambda w: ~F.exists("__strong", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
-    found = found.select(*keep, "__strong", F.when(F.size("__all") > 0, apart).otherwise(none).alias("__weak"))
-    parts = F.concat("__strong", "__weak")
-    found = found.select(*keep, "__strong", "__weak", of_kinds(parts, IDENTIFIERS).alias("__ids"), of_kinds(parts, SECRETS).alias("__keys"))
-
-    def complete(w: Column) -> Column:
-        has_id, has_key = _near(w, F.col("__ids"), scope), _near(w, F.col("__keys"), scope)
-        return F.when(w["ord"] == KINDS.index("user"), has_key).when(w["ord"] == KINDS.index("pass"), has_id).otherwise(has_id & has_key)
-
-    linked = F.when(F.size("__weak") > 0, F.filter("__weak", complete)).otherwise(none)
-    return found.select(*keep, F.array_sort(F.concat("__strong", linked)).alias("secret_spans"))
+    documents = documents.drop("secret_spans")
+    found, own = _scanned(documents, scope, text)
+    return found.select(*own, "spans").toDF(*documents.columns, "secret_spans")
 
 
 def joined(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
@@ -100,19 +149,26 @@ def joined(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
 
 
 def masked(documents: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """documents with each run of overlapping spans replaced by `mask`; n_chars follows the text. Rows stay, clean texts too."""
-    cols = documents.columns
-    kept = {c: f"__own_{i}" for i, c in enumerate(cols) if c not in ("text", "n_chars")}
-    found = scan(documents.withColumnsRenamed(kept), scope)
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        before = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.when(new, F.concat(acc["out"], before, F.lit(mask))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    """documents with each run of overlapping spans replaced by `mask`; n_chars follows the text.
 
-    done = F.aggregate("secret_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("secret_spans") > 0, done).otherwise(F.col("text")))
+    All rows and columns stay; null, empty and clean texts stay as they are; repeated rows are masked each.
+    """
+    cols = documents.columns
+    found, own = _scanned(documents, scope, "text")
+    found = _scans(found.selectExpr("*", "size(spans) > 0 as hit"), {"reach": ("transform(spans, s -> s.end)", _LARGER, 0)})
+    # What stays lies between the furthest end so far and the next start; it is put together from pieces of the text.
+    between = "filter(zip_with(spans, reach, (s, r) -> struct(r as a, s.start as b)), x -> x.b >= x.a)"
+    rest = "array(struct(array_max(transform(spans, s -> s.end)) as a, cast(length(t) as bigint) as b))"
+    chunks = f"regexp_extract_all(t, '(?s).{{1,{_CHUNK}}}', 0)"
+    found = found.selectExpr(*own, "hit", f"CASE WHEN hit THEN concat({between}, {rest}) END as stays", f"CASE WHEN hit THEN {chunks} END as chunks")
+    first, last, at, to = [f"cast(x.{k} {op} {_CHUNK} as int)" for op in ("div", "%") for k in ("a", "b")]
+    begin, end = [f"coalesce(get(chunks, {k}), '')" for k in (first, last)]
+    whole = f"array_join(slice(chunks, {first} + 2, greatest({last} - {first} - 1, 0)), '')"
+    piece = f"CASE WHEN {first} = {last} THEN substring({begin}, {at} + 1, {to} - {at}) ELSE concat(substring({begin}, {at} + 1), {whole}, substring({end}, 1, {to})) END"
+    text = own[cols.index("text")]
+    new = F.when(F.col("hit"), F.array_join(F.expr(f"transform(stays, x -> {piece})"), mask)).otherwise(F.col(text))
+    found = found.select("hit", *[new.alias(c) if c == text else F.col(c) for c in own])
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(kept.get(c, c)).alias(c) for c in cols])
+        n = own[cols.index("n_chars")]
+        found = found.withColumn(n, F.when(F.col("hit"), F.length(text).cast(documents.schema[cols.index("n_chars")].dataType)).otherwise(F.col(n)))
+    return found.select(*own).toDF(*cols)
