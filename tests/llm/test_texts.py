@@ -135,6 +135,10 @@ def test_messy_groups(messy, empty):
 ITEMS = [(i, prose(30 + i, 900 + i).capitalize() + ". " + prose(10, 950 + i) + ".") for i in range(12)] + [(50, None), (51, ""), (52, prose(300, 990)), (53, "Short one.")]
 
 
+def word_pairs(words):
+    return set(pairwise(words)) if len(words) > 1 else set(words)
+
+
 def brute_matches(rows, items, threshold=decontam.THRESHOLD):
     """Every passage scored against every item without any index."""
     words = {i: decontam.terms(t) for i, t in items if t}
@@ -157,7 +161,7 @@ def brute_matches(rows, items, threshold=decontam.THRESHOLD):
             for at in range(0, max(len(ws) - half, 1), half):
                 p = ws[at : at + 2 * half]
                 have = set(pairwise(p)) | set(p)
-                q, a = (decontam._pairs(x) for x in decontam.question_answer(dict(items)[i]))
+                q, a = (word_pairs(x) for x in decontam.question_answer(dict(items)[i]))
                 share = [len(x & have) / len(x) if x else 1.0 for x in (q, a)]
                 if p and sum(im.get(x, 0) for x in set(p)) >= threshold * sum(im.values()) and min(share) >= 0.5:
                     out.add((d, i))
@@ -213,6 +217,37 @@ def test_parts_of_a_benchmark_match_as_the_whole(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in decontam.clean_documents(docs, bench).collect()) == kept
 
 
+def test_index_files_and_blocks(tmp_path):
+    """Every passage and item of random texts, scored one by one, against lists read back from a file."""
+    r = random.Random(4)
+    items = [(None if i == 7 else i, prose(r.randint(1, 200), 40 + i)) for i in range(60)]
+    index = decontam.build(items)
+    path = f"file://{tmp_path}/a/index.npz"
+    index.save(path)
+    index = decontam.Index.load(path)
+    docs = [decontam.terms(" ".join([prose(r.randint(0, 300), 700 + n), items[n][1], prose(r.randint(0, 300), 800 + n)])) for n in range(40)] + [[]]
+    got = {(d, x, v[3]) for d, m in enumerate(decontam.matches(index, docs, 0.5, 0.0, 0.0)) for x, v in m.items()}
+    best = {}
+    for l in index.lists:
+        for j, n in enumerate(l.items.tolist()):
+            impact = {}
+            for t in range(len(l.term_max)):
+                for e in range(l.starts[t], l.starts[t + 1]):
+                    for q in range(l.first[e], l.first[e + 1]):
+                        assert l.blocks[e] == l.postings[q] // decontam.BLOCK_ITEMS and l.impacts[q] <= l.block_max[e] <= l.term_max[t]
+                        if l.postings[q] == j:
+                            impact[t] = float(l.impacts[q])
+            assert abs(sum(impact.values()) - 1) < 1e-5
+            for d, ws in enumerate(docs):
+                for at in range(0, max(len(ws) - l.half, 1), l.half):
+                    score = sum(impact.get(index.vocab.get(w), 0.0) for w in set(ws[at : at + 2 * l.half]))
+                    key = (d, index.item_ids[n])
+                    if score >= 0.5 - 1e-5 and ((score, -at) > best.get(key, (0, 0))):
+                        best[key] = (score, -at)
+    assert {(d, i) for d, i, _ in got} == set(best) and len(best) > 60
+    assert sum((d, i, -best[d, i][1]) in got for d, i in best) >= 0.95 * len(best)  # ties in the last digit may choose another passage
+
+
 # Language
 
 
