@@ -77,21 +77,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 
 def license_rules() -> str:
-    known = ", ".join(f"{_str(licenses.normal(s))}: {_str(k)}" for k, s in licenses.SENTENCES.items())
+    """Sentences as arrays and rules as steps, one for each rule and reading, that take matches away."""
+    known = ", ".join(f"{_str(x)}: {_str(k)}" for x, k in licenses.PIECES.items())
+    sign = ", ".join(f"{_str(k)}: {_str(x)}" for k, x in licenses._SIGN.items())
     blank = r"[\x09-\x0D\x20]"
     plain = "lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g')))"
     ids = f"list_filter(list_transform(string_split(regexp_replace({{}}, '([.!?:]){blank}+', '\\1' || chr(10), 'g'), chr(10)), lambda s: map_extract(m, {plain})[1]), lambda k: k IS NOT NULL)"
     thin = r"regexp_replace(t, '[\x20\x09\x0D]+', ' ', 'g')"
     across = f"replace(regexp_replace(regexp_replace({thin}, '\\n ?\\n', '.' || chr(133), 'g'), ' ?\\n ?', ' ', 'g'), chr(133), chr(10))"
-    name = ", ".join(f"CASE WHEN regexp_matches(a, {_str(licenses._follows(i))}) OR regexp_matches(b, {_str(licenses._follows(i))}) THEN {{{{'l': {_str(n)}, 'c': {_str(c)}}}}} END" for n, c, i in licenses.RULES).replace("{{", "{").replace("}}", "}")
-    once = "array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i), ',')"
+    steps, at = [], "s"
+    for i, (_, _, x) in enumerate(licenses.SIGNED):
+        take = f"regexp_replace({{0}}, {_str(licenses.pattern(x))}, {_str(licenses.kept_groups(x, chr(92)))}, 'g')"
+        steps.append(f"s{i} AS (SELECT * EXCLUDE (a, b), {take.format('a')} AS a, {take.format('b')} AS b, regexp_matches(a, {_str(licenses.pattern(x))}) AS a{i}, regexp_matches(b, {_str(licenses.pattern(x))}) AS b{i} FROM {at})")
+        at = f"s{i}"
+    rows = []
+    for i, others in licenses.longer().items():
+        more = [" OR ".join(f"{r}{j}" for j in others) or "false" for r in "ab"]
+        rows.append(f"SELECT doc_id, {i} AS i, {_str(licenses.SIGNED[i][0])} AS l, {_str(licenses.SIGNED[i][1])} AS c FROM {at} WHERE a{i} AND (b{i} OR NOT ({more[1]})) OR b{i} AND (a{i} OR NOT ({more[0]}))")
+    once = "SELECT doc_id, string_agg({0}, ',' ORDER BY i) AS {0}s FROM (SELECT doc_id, {0}, min(i) AS i FROM hits GROUP BY ALL) GROUP BY 1"
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t, MAP {{{known}}} AS m FROM documents),
 i AS (SELECT doc_id, CASE WHEN regexp_matches(t, {_str(licenses.TRIGGER)}) THEN {ids.format("t")} ELSE [] END AS p, CASE WHEN regexp_matches(t, {_str(licenses.TRIGGER)}) THEN {ids.format(across)} ELSE [] END AS q FROM t),
-s AS (SELECT doc_id, CASE WHEN len(q) > len(p) THEN q ELSE p END AS ids, ',' || array_to_string(p, ',,') || ',' AS a, ',' || array_to_string(q, ',,') || ',' AS b FROM i),
-r AS (SELECT doc_id, ids, list_filter([{name}], lambda x: x IS NOT NULL) AS rules FROM s),
-o AS (SELECT doc_id, ids, list_transform(rules, lambda x: x.l) AS ls, list_transform(rules, lambda x: x.c) AS cs FROM r)
-SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, {once.format("ls")} AS licenses, {once.format("cs")} AS classes FROM o
+n AS (SELECT doc_id, CASE WHEN len(q) > len(p) THEN q ELSE p END AS ids, p, q FROM i),
+s AS (SELECT doc_id, array_to_string(list_transform(p, lambda k: map_extract(MAP {{{sign}}}, k)[1]), '') AS a, array_to_string(list_transform(q, lambda k: map_extract(MAP {{{sign}}}, k)[1]), '') AS b FROM n WHERE len(ids) > 0),
+{", ".join(steps)},
+hits AS ({" UNION ALL ".join(rows)}),
+ls AS ({once.format("l")}), cs AS ({once.format("c")})
+SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, coalesce(ls, '') AS licenses, coalesce(cs, '') AS classes FROM n LEFT JOIN ls USING (doc_id) LEFT JOIN cs USING (doc_id)
 """
 
 
