@@ -57,7 +57,7 @@ FROM x LEFT JOIN c USING (doc_id)
 
 
 def quality_rules() -> str:
-    k, long = quality.REPEAT_WORDS, quality.LONGEST_REPEAT + 1
+    k, long, some = quality.REPEAT_WORDS, quality.LONGEST_REPEAT + 1, quality.LONG_WORDS
     least, most = quality.LEAST_WORDS, quality.MOST_REPEATED
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -66,11 +66,13 @@ p AS (SELECT doc_id, unnest(range(1, len(w) - {k} + 2)) AS i, unnest(list_transf
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM p),
 r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat FROM g, range({k}) AS o(j) WHERE n > 1 GROUP BY 1),
 q AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {long} + 2), lambda i: array_to_string(w[i:i + {long - 1}], ' '))) AS x FROM w JOIN r USING (doc_id) WHERE n_repeat >= {long}),
+v AS (SELECT doc_id, unnest(range(1, len(w) - {some} + 2)) AS i, unnest(list_transform(range(1, len(w) - {some} + 2), lambda i: array_to_string(w[i:i + {some - 1}], ' '))) AS x FROM w JOIN r USING (doc_id) WHERE n_repeat >= {some}),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n_long FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM v), range({some}) AS o(j) WHERE n > 1 GROUP BY 1),
 z AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM q GROUP BY doc_id, x HAVING count(*) > 1)),
 y AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
 f AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
-             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, z.doc_id IS NOT NULL AS long
-      FROM w LEFT JOIN r USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id))
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, z.doc_id IS NOT NULL OR 100 * coalesce(n_long, 0) > {quality.COVERED} * len(w) AS long
+      FROM w LEFT JOIN r USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN c USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {least} OR 100 * n_repeat_words > {most} * n_words AS base_failed,
        NOT (n_words < {least} OR 100 * n_repeat_words > {most} * n_words OR long) AS kept FROM f
 """

@@ -35,7 +35,8 @@ def test_stages_against_brute_force(spark, documents):
             seen[tuple(words[i : i + 5])] += 1
         cov = {j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
         longest = 0 if not cov else brute_repeats(words)[1]
-        return len(words) >= 10 and len(cov) * 100 <= 20 * len(words) and longest <= 100
+        long = 0 if longest < 15 else brute_repeats(words, 15)[0]
+        return len(words) >= 10 and len(cov) * 100 <= 20 * len(words) and longest <= 100 and 100 * long <= 10 * len(words)
 
     rows = [r for r in rows if clean(r[1])]
     assert ids(out["quality"]) == {d for d, _ in rows}

@@ -24,15 +24,35 @@ def brute_repeats(ws, k=5):
     return len(covered), best if best >= k else 0
 
 
+def brute_maximal(ws, k):
+    """Strings of k words or more that occur twice, and longer neither to the left nor to the right at all places."""
+    places = defaultdict(list)
+    for i in range(len(ws)):
+        for j in range(i + k, len(ws) + 1):
+            places[tuple(ws[i:j])].append(i)
+    out = 0
+    for x, at in places.items():
+        left = {ws[i - 1] if i else ("begin",) for i in at}
+        right = {ws[i + len(x)] if i + len(x) < len(ws) else ("end", i) for i in at}
+        out += len(at) > 1 and len(left) > 1 and len(right) > 1
+    return out
+
+
 def test_repeats_against_brute_force():
     r = random.Random(3)
     for _ in range(200):
         docs = [[r.choice([b"a", b"b", b"c"][: r.randint(1, 3)]) for _ in range(r.randint(0, 40))] for _ in range(r.randint(1, 6))]
-        for words, (n, best, spans) in zip(docs, quality.repeats(docs), strict=True):
-            assert (n, best) == brute_repeats(words)
+        for words, (n, n_long, n_max, best, spans) in zip(docs, quality.repeats(docs, 5, 9), strict=True):
+            assert (n, best) == brute_repeats(words) and n_long == brute_repeats(words, 9)[0] and n_max == brute_maximal(words, 5)
             assert sum(b - a for a, b in spans) == n and all(a < b for a, b in spans) and all(x[1] < y[0] for x, y in pairwise(spans))
 
 
+def test_a_text_of_one_word(spark):
+    """The most intervals that a text can have."""
+    (n, n_long, n_max, best, spans) = quality.repeats([[b"a"] * 30_000])[0]
+    assert (n, n_long, n_max, best, spans) == (30_000, 30_000, 29_995, 29_999, [(0, 30_000)])
+
+
 def test_quality_rows(messy, empty, messy_rows):
     got = sorted(((r["doc_id"] or 0), r["n_words"], r["word_chars"], r["n_symbols"], r["n_repeat_words"]) for r in quality.judge(messy).collect())
     want = []
@@ -47,9 +67,11 @@ def test_quality_rows(messy, empty, messy_rows):
 
 def test_quality_verdicts(spark, messy):
     line = prose(20, 1)
-    rows = [(1, prose(50, 2)), (2, f"{line}\n{line}\n\n{line}"), (3, "few words"), (4, prose(400, 3) + " " + line + " " + prose(30, 4) + " " + line), (5, (p := prose(120, 6)) + " " + prose(2000, 7) + " " + p)]
+    rows = [(1, prose(50, 2)), (2, f"{line}\n{line}\n\n{line}"), (3, "few words"), (4, prose(400, 3) + " " + line + " " + prose(30, 4) + " " + line), (5, (p := prose(120, 6)) + " " + prose(2000, 7) + " " + p), (6, " ".join([(q := prose(30, 8)), prose(200, 9), q, prose(100, 10)])), (7, " ".join([(q := prose(30, 8)), prose(400, 9), q, prose(200, 10)]))]
     got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i]["kept"] for i in range(1, 6)] == [True, False, False, True, False]
+    assert [got[i]["kept"] for i in range(1, 8)] == [True, False, False, True, False, False, True]
+    # The limit on what long repeats cover decides where neither the base rule nor the longest repeat does.
+    assert not got[6]["base_failed"] and got[6]["n_long_words"] == got[7]["n_long_words"] == 60 and got[6]["longest_repeat"] <= 100
     assert got[2]["n_dup_lines"] == 2 and got[5]["longest_repeat"] >= 120 and not got[5]["base_failed"]
     kept = quality.kept_documents(messy)
     assert kept.columns == messy.columns
