@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from meridian.llm.common import drop, mix64, slices, texts, written
 
@@ -26,8 +27,9 @@ from meridian.llm.common import drop, mix64, slices, texts, written
 SHINGLE_WORDS, SIMILARITY = 5, 80
 #: Coordinates of a band, and the probability at most with which a pair at the threshold shares no band.
 ROWS, MISS = 5, 1e-6
-#: Tasks over which the rows of one set, or the partners of one document, are dealt.
-SALTS = 32
+#: Tasks over which the rows of one set, or the partners of one document, are dealt at least; rows for which there is
+#: another.
+SALTS, SALT_ROWS = 32, 1_000_000
 #: Documents of a block, and shingles of a block, at most on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
 _SEEDS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -41,12 +43,14 @@ def bands_for(percent: int, rows: int = ROWS) -> int:
 
 
 class _Hashes(dict):
-    """Word to 64-bit hash, for as many words as fit."""
+    """Word to 64-bit hash, for as many words as fit; long ones, which seldom come again, are not kept."""
 
     def __missing__(self, word):
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 200_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -85,36 +89,67 @@ def bands(sig: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, words: int, n_bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, fa, fb, bands): set size, 128-bit fingerprint of the set, buckets."""
+    """(doc_id, n, fa, fb, bands, row): set size, 128-bit fingerprint of the set, buckets, and a number that deals rows."""
 
     def run(batches):
+        row = 0
         for b in slices(batches):
             out = []
             for t in texts(b.column(1)):
                 s = shingles(t, words)
                 if len(s):
-                    raw = s.tobytes()
-                    f = np.array([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)], np.uint64).view(np.int64)
-                    out.append((len(s), int(f[0]), int(f[1]), bands(signature(s, n_bands * rows), n_bands, rows).tolist()))
+                    out.append((len(s), *fingerprint(s), bands(signature(s, n_bands * rows), n_bands, rows).tolist()))
                 else:
                     out.append((0, 0, 0, []))
             n, fa, fb, bk = zip(*out, strict=True)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(bk, pa.list_(pa.int64()))], names=["doc_id", "n", "fa", "fb", "bands"])
+            numbers = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(bk, pa.list_(pa.int64())), numbers], names=["doc_id", "n", "fa", "fb", "bands", "row"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fa long, fb long, bands array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fa long, fb long, bands array<long>, row long")
+
+
+def fingerprint(items: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers; zeros for the empty one."""
+    if not len(items):
+        return 0, 0
+    raw = items.tobytes()
+    a, b = np.array([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)], np.uint64).view(np.int64)
+    return int(a), int(b)
+
+
+def with_sets(documents: DataFrame, words: int) -> DataFrame:
+    """documents with n, fa, fb of their sets in front, in columns of these names and _0, _1, ... for their own."""
+    own = documents.toDF(*[f"_{i}" for i in range(len(documents.columns))])
+    at, names = documents.columns.index("text"), ["n", "fa", "fb", *own.columns]
+
+    def run(batches):
+        for b in slices(batches):
+            found = [shingles(t, words) for t in texts(b.column(at))]
+            marks = [fingerprint(s) for s in found]
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in found], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), *b.columns], names=names)
+
+    return own.mapInArrow(run, StructType([*[StructField(n, LongType()) for n in ("n", "fa", "fb")], *own.schema.fields]))
 
 
 def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
-    """(doc, n, items) of documents(doc_id, text)."""
+    """(doc, n, items) of documents(doc_id, text, several): a document of several sets has a node for each."""
 
     def run(batches):
         for b in slices(batches):
             found = [shingles(t, words).view(np.int64) for t in texts(b.column(1))]
+            marks = [fingerprint(s) if some else (0, 0) for s, some in zip(found, b.column(2).to_pylist(), strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc", "n", "items"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "several", "n", "fa", "fb", "items"])
+
+    sets = documents.select("doc_id", "text", "several").mapInArrow(run, "doc_id long, several boolean, n long, fa long, fb long, items array<long>")
+    return sets.select(_node(F.col("several")), "n", "items")
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc long, n long, items array<long>")
+
+def _node(several: Column) -> Column:
+    """The node of a set: its document, or a hash of both where that has several sets."""
+    return F.when(several, F.xxhash64("doc_id", "fa", "fb", "n")).otherwise(F.col("doc_id")).alias("doc")
 
 
 def _alike(inter: Column, a: Column, b: Column, percent: int) -> Column:
@@ -124,7 +159,8 @@ def _alike(inter: Column, a: Column, b: Column, percent: int) -> Column:
 def _star_links(multi: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) between the smallest document of each bucket and the others there."""
     pairs = multi.where("doc <> least_doc").select(F.col("least_doc").alias("a"), F.col("doc").alias("b")).distinct()
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    salts = max(SALTS, -(-multi.count() // SALT_ROWS))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
     left = pairs.select("a", "salt").distinct().join(sets.selectExpr("doc as a", "n as na", "items as ia"), "a")
     right = pairs.join(sets.selectExpr("doc as b", "n as nb", "items as ib"), "b")
     both = right.join(left, ["a", "salt"]).where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
@@ -229,50 +265,97 @@ def components(links: DataFrame) -> DataFrame:
         edges, old_edges = written(ends.select(F.xxhash64("la").alias("a"), F.xxhash64("lb").alias("b")).distinct(), "edges"), edges
         for x in (to, old_state, old_edges):
             drop(x)
+    drop(edges)
     return state
 
 
-def groups(documents: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILARITY, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of documents(doc_id, text), a row for each row.
-
-    component_id is the smallest doc_id that links lead to. Null and empty texts have no shingles and no links; a
-    null doc_id has neither, and a null component_id. Rows of equal doc_id are one document: a link of either
-    text counts for its node, while copies go by their text. Other columns are ignored.
-    """
+def _grouped(documents: DataFrame, words: int, percent: int, rows: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(doc_id, n, fa, fb, component_id) for each row, the written tables that it reads, and the documents of several sets."""
     docs = documents.select("doc_id", "text")
     all_ = written(sketches(docs, words, bands_for(percent, rows), rows), "sketches")
+    salts = max(SALTS, -(-all_.count() // SALT_ROWS))
     real = all_.where("n > 0 and doc_id is not null")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    salt = F.pmod("row", F.lit(salts)).alias("salt")
+    apart = all_.where("doc_id is not null").groupBy("doc_id").agg(*[f(c).alias(f"{c}{k}") for c in ("fa", "fb", "n") for k, f in enumerate((F.min, F.max))])
+    several = written(apart.where("fa0 <> fa1 or fb0 <> fb1 or n0 <> n1").select("doc_id"), "several")
+    some = not several.isEmpty()
+    flag = F.col("several").isNotNull() if some else F.lit(False)
+
+    def flagged(rows_: DataFrame) -> DataFrame:
+        return rows_.join(several.withColumn("several", F.lit(True)), "doc_id", "left") if some else rows_
+
     parts = real.groupBy("fa", "fb", "n", salt).agg(F.min("doc_id").alias("m"), F.count("*").alias("c"))
-    reps = written(parts.groupBy("fa", "fb", "n").agg(F.min("m").alias("doc"), F.sum("c").alias("c"), F.collect_set("salt").alias("salts")), "sets")
-    chosen = real.join(reps.select("fa", "fb", F.col("doc").alias("doc_id")), ["fa", "fb", "doc_id"], "left_semi")
-    placed = chosen.select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("bucket")).distinct()
+    reps = parts.groupBy("fa", "fb", "n").agg(F.min("m").alias("doc_id"), F.sum("c").alias("c"), F.collect_set("salt").alias("salts"))
+    reps = written(flagged(reps).select("fa", "fb", "n", "doc_id", "c", "salts", _node(flag)), "sets")
+    chosen = real.join(reps.select("fa", "fb", "n", "doc_id", "doc"), ["fa", "fb", "n", "doc_id"])
+    placed = chosen.select("doc", "doc_id", "n", F.explode("bands").alias("bucket")).distinct()
     shared = placed.groupBy("bucket").agg(F.min("doc").alias("least_doc"), F.max("doc").alias("h")).where("least_doc <> h").drop("h")
     multi = written(placed.join(shared, "bucket"), "buckets")
-    wanted = multi.select(F.col("doc").alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words), "shingles")
-    stars = written(_star_links(multi, sets, percent), "links")
+    wanted = multi.select("doc_id").distinct()
+    sets = written(shingle_sets(flagged(docs.join(wanted, "doc_id", "left_semi")).select("doc_id", "text", flag.alias("several")), words).dropDuplicates(["doc"]), "shingles") if some else written(shingle_sets(docs.join(wanted, "doc_id", "left_semi").withColumn("several", flag), words), "shingles")
+    multi_ = multi.drop("doc_id")
+    stars = written(_star_links(multi_, sets, percent), "links")
     labels = components(stars)
-    more = written(_block_links(multi, labels, sets, percent), "links")
+    more = written(_block_links(multi_, labels, sets, percent), "links")
     if not more.isEmpty():
-        labels = components(stars.union(more))
-    for x in (multi, sets):
+        labels, old = components(stars.union(more)), labels
+        drop(old)
+    for x in (multi, sets, stars, more):
         drop(x)
-    least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
+    named = labels.join(reps.select(F.col("doc").alias("node"), "doc_id"), "node") if some else labels.withColumn("doc_id", F.col("node"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = labels.join(least, "label").select(F.col("node").alias("doc"), "component_id")
-    of_set = reps.join(linked, "doc", "left").where("c > 1 or component_id is not null").select("fa", "fb", F.coalesce("component_id", "doc").alias("component_id"), F.explode("salts").alias("salt"))
-    of_row = all_.select("doc_id", "n", "fa", "fb", salt).join(of_set, ["fa", "fb", "salt"], "left")
+    of_set = reps.join(linked, "doc", "left").where("c > 1 or component_id is not null").select("fa", "fb", "n", F.coalesce("component_id", "doc_id").alias("component_id"), F.explode("salts").alias("salt"))
+    of_row = all_.select("doc_id", "n", "fa", "fb", salt).join(of_set, ["fa", "fb", "n", "salt"], "left")
     own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return of_row.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = of_row.select("doc_id", "n", "fa", "fb", F.when(own, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out, [all_, reps, labels], several
+
+
+def groups(documents: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILARITY, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents(doc_id, text), a row for each row.
+
+    component_id is the smallest doc_id that links lead to. Null and empty texts have no shingles and no links; a
+    null doc_id has neither, and a null component_id. Each row is judged by its own text, so rows of one doc_id with
+    different texts may lie in different groups, and equal rows lie in one. A very long text is compared whole. Other
+    columns are ignored.
+    """
+    return _grouped(documents, words, percent, rows)[0].select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(documents: DataFrame, words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """documents with one row of each group: the smallest doc_id. Rows without a doc_id stay; of repeated rows one does."""
-    found = written(groups(documents, words, percent), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
-    if again.isEmpty():
-        return kept
-    single = kept.join(again, "doc_id", "left_anti").select(*documents.columns)
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"]))
+    """documents with one document of each group, that of the smallest doc_id; rows without a doc_id all stay.
+
+    Of rows of one doc_id with equal sets of shingles (repeated rows, above all) one stays, the one whose columns hash
+    to the least; rows of one doc_id with different sets are documents of their own, and none goes for another's text.
+    """
+    grouped, tables, several = _grouped(documents, words, percent, ROWS)
+    found = written(grouped, "groups")
+    for x in tables:
+        drop(x)
+    some = not several.isEmpty()
+    single = found.join(several, "doc_id", "left_anti") if some else found
+    gone = single.where("doc_id <> component_id").select("doc_id").distinct()
+    again = single.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    names = documents.columns
+    own = documents.toDF(*[f"_{i}" for i in range(len(names))])
+    id_ = f"_{names.index('doc_id')}"
+
+    def with_(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return rows.join(ids.withColumnRenamed("doc_id", id_), id_, how).select(*own.columns)
+
+    def one(rows: DataFrame, key: list[str]) -> DataFrame:
+        rest = F.struct(*own.columns)
+        return rows.groupBy(*key).agg(F.min_by(rest, F.xxhash64(*own.columns)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in own.columns])
+
+    kept = with_(own, gone, "left_anti")
+    if some or not again.isEmpty():
+        twice = again.union(several)
+        out = with_(kept, twice, "left_anti").unionByName(one(with_(kept, again, "left_semi"), [id_]))
+        if some:
+            key = [id_, "n", "fa", "fb"]
+            first = found.join(several, "doc_id", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias(id_), "n", "fa", "fb").distinct()
+            marked = with_sets(with_(own, several, "left_semi").toDF(*names), words)
+            out = out.unionByName(one(marked.join(first, key, "left_semi"), key))
+        kept = out
+    return kept.toDF(*names)

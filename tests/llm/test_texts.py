@@ -152,6 +152,35 @@ def test_messy_groups(messy, empty):
     assert sorted((r["doc_id"] or 0) for r in one.collect()) == [0, 0, 1, 2, 3, 7, 8, 9, 11, 12]
 
 
+def test_rows_of_one_doc_id(spark):
+    """Each row goes by its own text: none is lost for another row of the same doc_id, copies and repeated rows are."""
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    near = c.split()
+    near[40] = "changed"
+    rows = [(5, a, 1), (5, b, 2), (3, a, 3), (7, b, 4), (8, c, 5), (8, c, 5), (8, " ".join(near), 6), (9, c, 7), (None, a, 8), (None, a, 8), (4, None, 9), (4, "", 10), (6, None, 11), (6, a, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in near_dups.groups(df).collect())
+    assert got == sorted([(5, 76, 3), (5, 76, 5), (3, 76, 3), (7, 76, 5), (8, 76, 8), (8, 76, 8), (8, 76, 8), (9, 76, 8), (0, 76, 0), (0, 76, 0), (4, 0, 4), (4, 0, 4), (6, 0, 6), (6, 76, 3)])
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in near_dups.one_of_each(df).collect())
+    assert left == sorted([(5, b), (3, a), (8, c), (8, " ".join(near)), (0, a), (0, a), (4, ""), (6, "")])
+
+
+def test_salts_and_leftover_tables(spark, copies, monkeypatch):
+    """More salts give the same groups, and only the tables that the result reads stay in the shared folder."""
+    import os
+
+    from meridian.llm import common
+
+    df = spark.createDataFrame(copies + copies[:30] * 3, "doc_id long, text string").repartition(5)
+    want = sorted(map(tuple, near_dups.groups(df, 3, 85).collect()))
+    monkeypatch.setattr(near_dups, "SALT_ROWS", 5)
+    assert sorted(map(tuple, near_dups.groups(df, 3, 85).collect())) == want
+    folder = common.shared_root(spark).removeprefix("file://") + "/meridian"
+    before = set(os.listdir(folder))
+    near_dups.one_of_each(df, 3, 85).count()
+    assert sorted(x.split("-")[0] for x in set(os.listdir(folder)) - before) == ["groups", "several"]
+
+
 # Decontamination
 
 ITEMS = [(i, prose(30 + i, 900 + i).capitalize() + ". " + prose(10, 950 + i) + ".") for i in range(12)] + [(50, None), (51, ""), (52, prose(300, 990)), (53, "Short one.")]
