@@ -5,8 +5,8 @@ documents in ascending order; a block has its documents' ids and counts, then al
 each value less one, packed into bytes), then all value bytes. Decoding looks each control byte up in a table
 that gives the widths and offsets of its values, and needs no loop over values.
 
-Documents are tokenized once and dealt by ranges of doc_id. The sorted token table in the shared folder is
-counted, then written as files by a map over its partitions.
+Documents are tokenized once and dealt by ranges of doc_id, a doc_id of many rows by ranges of their texts' hashes.
+The sorted token table in the shared folder is counted, then written as files by a map over its partitions.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ MAGIC = b"MTOK1\0"
 #: Tokens in a block at least, but for the last; tokens in a file likewise.
 BLOCK_TOKENS = 1 << 16
 FILE_TOKENS = 1 << 24
-#: Documents' ids aimed at in a range partition, in bytes.
-RANGE_BYTES = 64 << 20
+#: The optimizer's estimate of the documents that is aimed at in a range; ranges at most, whose bounds tasks hold.
+RANGE_BYTES, MAX_RANGES = 64 << 20, 20_000
 
 _HEAD = struct.Struct("<IQQB")
 
@@ -115,22 +116,32 @@ def _bytes(docs: DataFrame) -> int:
     return estimate if estimate < 1 << 55 else docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
 
 
+def range_of(keys: np.ndarray, hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The range of each row: its key's among sorted cuts. A key that is several cuts has as many ranges more, which
+    its rows share by hash, in the order of the hashes; ranges ascend by (key, hash)."""
+    low, high = np.searchsorted(cuts, keys, side="left"), np.searchsorted(cuts, keys, side="right")
+    share = (hashes >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return (low + np.where(high - low > 1, np.minimum((share * (high - low + 1)).astype(np.int64), high - low), 0)).astype(np.int32)
+
+
 def tokenized(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """documents(doc_id, text) as a written table (part, doc_id, ids), dealt by ranges of doc_id and sorted in each."""
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
     size = _bytes(docs)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("c")).first()["c"]
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_RANGES, -(-size // RANGE_BYTES)))
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("c")).first()["c"]
+    bounds = np.sort(np.array(cuts or [], np.int64))
 
     def run(batches):
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         for b in slices(batches):
-            keys = b.column(0)
-            part = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
-            ids = [enc.encode(t) + end for t in texts(b.column(1))]
+            keys, rows = b.column(0), texts(b.column(1))
+            hashes = np.array([xxhash.xxh64_intdigest(t) for t in rows], np.uint64)
+            part = range_of(keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), hashes, bounds)
+            ids = [enc.encode(t) + end for t in rows]
             yield pa.record_batch([pa.array(part), keys, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     dealt = docs.mapInArrow(run, "part int, doc_id long, ids binary").repartitionById(n, F.col("part"))
@@ -158,8 +169,9 @@ def write_files(documents: DataFrame, tokenizer: str, end_id: int, folder: str |
     """Tokenizes documents(doc_id, text), appends end_id to each, and writes token files in ascending doc_id order.
 
     Gives the manifest (part, seq, path, n_docs, n_tokens), a row for each file, and the ids by rank. Null text
-    is empty; null doc_ids come first; rows with equal doc_id follow in the order of their ids' bytes. A task that
-    runs again writes the same files over the first ones, each put in place by a rename.
+    is empty; null doc_ids come first; rows with equal doc_id follow in the order of their ids' bytes, and where a
+    doc_id has more rows than a range, by ranges of their texts' hashes first. An empty table gives no files; a very long text may exceed a block and a file. Other columns are ignored. A task that runs
+    again writes the same files over the first ones, each put in place by a rename.
     """
     spark = documents.sparkSession
     enc = encoder(tokenizer)
@@ -223,10 +235,17 @@ def write_files(documents: DataFrame, tokenizer: str, end_id: int, folder: str |
 
 
 def read_files(manifest: DataFrame, ids_of: np.ndarray) -> DataFrame:
-    """Documents (doc_id, start, n_tokens, ids) read back from a manifest's files; start counts all ids before."""
+    """Documents (doc_id, start, n_tokens, ids) read back from a manifest's files; start counts all ids before.
+
+    Null and repeated doc_ids come as they were written; an empty manifest gives no rows.
+    """
     spark = manifest.sparkSession
-    w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
+    # Ranges are few and counted one after the other; the files of a range follow from its own.
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    ranges = ranges.select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n_tokens").over(before.partitionBy("part").orderBy("seq")), F.lit(0))
+    files = manifest.withColumn("inside", inside).join(F.broadcast(ranges), "part").withColumn("base", F.col("first") + F.col("inside"))
 
     def run(batches):
         for b in batches:
@@ -244,7 +263,7 @@ def read_files(manifest: DataFrame, ids_of: np.ndarray) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), manifest.count())
     return files.select("path", "base").repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 

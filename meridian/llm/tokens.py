@@ -13,8 +13,9 @@ import re
 
 import numpy as np
 
-#: Pieces kept in a worker; beyond it the older half goes.
-CACHE_PIECES = 500_000
+#: Pieces kept in a worker; beyond it the older half goes. Longer pieces, which seldom come again, are not kept, so
+#: that a cache takes a few hundred bytes a piece at most.
+CACHE_PIECES, PIECE_BYTES = 500_000, 64
 
 _ODD = re.compile(r"[ \n](?:\s|$)")
 _CUT = re.compile(r"(?=[ \n]\S)")
@@ -44,6 +45,8 @@ class _Pieces(dict):
         ids = self.old.get(piece)
         if ids is None:
             ids = self.encode(piece)
+            if len(piece) > PIECE_BYTES:
+                return ids
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

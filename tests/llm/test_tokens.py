@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from meridian.llm import packing, token_files
-from meridian.llm.tokens import encoder, public_path
+from meridian.llm.tokens import TextEncoder, encoder, public_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -63,6 +63,33 @@ def test_files_in_order(spark, messy, messy_rows):
     assert got == want
 
 
+def test_a_hot_doc_id_is_dealt(spark):
+    """Rows without a doc_id and rows of one doc_id, most of all, lie in several files, and none is lost."""
+    texts = [f"text number {i} of many" for i in range(400)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    manifest, ids_of = token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), public_path(WORDS), 2)
+    parts = [(r["part"], r["n_docs"]) for r in manifest.collect()]
+    assert len(parts) >= 6 and max(n for _, n in parts) < 120
+    got = sorted((x["start"], x["doc_id"], x["n_tokens"], x["ids"]) for x in token_files.read_files(manifest, ids_of).collect())
+    keys = [(d is not None, d or 0) for _, d, _, _ in got]
+    assert keys == sorted(keys) and [a + n for a, _, n, _ in got[:-1]] == [a for a, _, _, _ in got[1:]] and got[0][0] == 0
+    want = sorted((str(d), np.array(library(WORDS, t) + [2], "<u4").tobytes()) for d, t in rows)
+    assert sorted((str(d), bytes(x)) for _, d, _, x in got) == want
+
+
+def test_ranges_ascend_and_share_hot_keys():
+    cuts = np.array([3, 5, 5, 5, 9], np.int64)
+    keys = np.array([1, 3, 4, 5, 5, 5, 5, 6, 9, 10], np.int64)
+    hashes = np.array([0, 0, 0, 0, 1 << 62, 1 << 63, (1 << 64) - 1, 0, 0, 0], np.uint64)
+    assert token_files.range_of(keys, hashes, cuts).tolist() == [0, 0, 1, 1, 2, 3, 4, 4, 4, 5]
+
+
+def test_long_pieces_are_not_kept():
+    enc = TextEncoder(public_path(WORDS))
+    assert enc.ids("x" * 300 + " short").tolist() == library(WORDS, "x" * 300 + " short")
+    assert max(map(len, enc.pieces)) <= 64
+
+
 def test_files_of_no_rows(empty):
     manifest, ids_of = token_files.write_files(empty, public_path(WORDS), 2)
     assert token_files.read_files(manifest, ids_of).count() == 0
