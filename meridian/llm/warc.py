@@ -3,7 +3,9 @@
 Equal payloads are found by digest: the smallest page_id of each is taken per task and then overall, and comes
 back to the pages by a join on digest and salt, so that a payload that a third of the pages share is dealt over
 many tasks. Each archive, once read back, is a run of captures sorted by URL key and time. The runs are dealt by
-ranges of (key, time, page_id), and in each range a loser tree merges the parts of the runs that fall there.
+ranges of (key, time, page_id), and in each range a loser tree merges the parts of the runs that fall there: as they
+stream by, parts of so many captures together are merged into a file in the shared folder, and those files at the end,
+read a batch at a time, so that memory does not grow with a range.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -24,8 +27,10 @@ from meridian.llm.common import filesystem, shared_path, slices, written
 REVISIT_BYTES = 100
 #: Tasks over which the pages of one digest are dealt.
 SALTS = 64
-#: Compressed bytes at which the next archive begins; captures aimed at in a range of the index.
-ARCHIVE_BYTES, RANGE_ROWS = 32 << 20, 250_000
+#: Compressed bytes at which the next archive begins; captures aimed at in a range of the index, and merged in memory.
+ARCHIVE_BYTES, RANGE_ROWS, MERGE_ROWS = 32 << 20, 250_000, 100_000
+#: Captures of a batch.
+_BATCH = 4096
 GZIP_LEVEL = 4
 _CHUNK = 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -172,8 +177,8 @@ def _order(r: list) -> tuple:
 
 
 def read_runs(manifest: DataFrame) -> DataFrame:
-    """The captures of a manifest's archives, those of each archive a sorted run; see RUN."""
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The captures of a manifest's archives, those of each archive a sorted run; see RUN. A task reads one archive."""
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
 
     def run(batches):
         for b in batches:
@@ -181,21 +186,23 @@ def read_runs(manifest: DataFrame) -> DataFrame:
                 fs, name = filesystem(path)
                 with fs.open_input_stream(name, compression=None) as f:
                     rows = sorted((capture(path, *m) for m in members(f)), key=_order)
-                for at in range(0, len(rows), 4096):
-                    part = [[path, at + i, *r] for i, r in enumerate(rows[at : at + 4096])]
+                for at in range(0, len(rows), _BATCH):
+                    part = [[path, at + i, *r] for i, r in enumerate(rows[at : at + _BATCH])]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*part, strict=True), _RUN_TYPES, strict=True)], names=_RUN_NAMES)
 
     return manifest.select("path").repartition(n, "path").mapInArrow(run, RUN)
 
 
-def loser_tree(runs: list[list[list]], key) -> Iterator[list]:
-    """All rows of sorted runs in order: a tournament whose inner nodes keep the losers, one path replayed a row."""
+def loser_tree(runs: list[Iterable[list]], key) -> Iterator[list]:
+    """All rows of sorted runs in order: a tournament whose inner nodes keep the losers, one path replayed a row. Of each
+    run one row is held."""
     k = len(runs)
     if not k:
         return
-    at = [0] * k
     done = (1,)
-    heads = [(0, key(r[0]), i) if r else done for i, r in enumerate(runs)]
+    rests = [iter(r) for r in runs]
+    rows = [next(r, None) for r in rests]
+    heads = [(0, key(r), i) if r is not None else done for i, r in enumerate(rows)]
     tree, winner = [-1] * k, -1
     for leaf in range(k):
         node, w = (leaf + k) // 2, leaf
@@ -209,9 +216,9 @@ def loser_tree(runs: list[list[list]], key) -> Iterator[list]:
             winner = w
     while heads[winner] != done:
         w = winner
-        yield runs[w][at[w]]
-        at[w] += 1
-        heads[w] = (0, key(runs[w][at[w]]), w) if at[w] < len(runs[w]) else done
+        yield rows[w]
+        rows[w] = next(rests[w], None)
+        heads[w] = (0, key(rows[w]), w) if rows[w] is not None else done
         node = (w + k) // 2
         while node:
             if heads[tree[node]] < heads[w]:
@@ -220,35 +227,73 @@ def loser_tree(runs: list[list[list]], key) -> Iterator[list]:
         winner = w
 
 
+def _frames(rows: Iterable[list], types: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while part := list(islice(rows, _BATCH)):
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=names)
+
+
+class Merger:
+    """External merge of runs that come one after the other, in rows of RUN: what is held at MERGE_ROWS is merged into a
+    file, itself a run; merged() gives all rows in order, but for their first two fields."""
+
+    def __init__(self, folder: str, most: int):
+        self.folder, self.most = folder, most
+        self.fs, self.base = filesystem(folder)
+        self.held: dict[str, list[list]] = {}
+        self.n, self.files = 0, []
+
+    def add(self, run: str, row: list) -> None:
+        self.held.setdefault(run, []).append(row)
+        self.n += 1
+        if self.n >= self.most:
+            self.spill()
+
+    def spill(self) -> None:
+        self.fs.create_dir(self.base, recursive=True)
+        name = f"{self.base}/{uuid.uuid4().hex}.arrow"
+        types, names = _RUN_TYPES[2:], _RUN_NAMES[2:]
+        with self.fs.open_output_stream(name) as f, pa.ipc.new_stream(f, pa.schema(list(zip(names, types, strict=True)))) as out:
+            for b in _frames(loser_tree(list(self.held.values()), _order), types, names):
+                out.write_batch(b)
+        self.files.append(name)
+        self.held, self.n = {}, 0
+
+    def _read(self, name: str) -> Iterator[list]:
+        with self.fs.open_input_stream(name) as f:
+            for b in pa.ipc.open_stream(f):
+                yield from map(list, zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+    def merged(self) -> Iterator[list]:
+        yield from loser_tree([*map(self._read, self.files), *self.held.values()], _order)
+        for name in self.files:
+            self.fs.delete_file(name)
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The captures of written, sorted runs as one globally ordered history; see INDEX. `history` is the number of the
-    range a row is in and `place` its place there: by them the order is read after any write or shuffle."""
+    range a row is in and `place` its place there: by them the order is read after any write or shuffle.
+
+    Null URLs come first, null page_ids before others; captures that agree in key, time and page_id go by archive and
+    offset, and repeated ones all stay. No runs give no rows.
+    """
     spark = runs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
     keys = ["urlkey", "timestamp", "page_id", "path", "offset"]
+    folder, most = shared_path(spark, "warc-merges"), MERGE_ROWS
 
     def run(batches):
-        by: dict[str, list[list]] = {}
+        merger, history = Merger(folder, most), 0
         for b in batches:
             for *r, history in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                by.setdefault(r[0], []).append(r[2:])
-        out = []
-        for place, r in enumerate(loser_tree([by[p] for p in sorted(by)], _order)):
-            out.append([*r, history, place])
-            if len(out) == 4096:
-                yield _merged(out)
-                out = []
-        if out:
-            yield _merged(out)
+                merger.add(r[0], r[2:])
+        rows = ([*r, history, place] for place, r in enumerate(merger.merged()))
+        yield from _frames(rows, _INDEX_TYPES, _INDEX_NAMES)
 
     ranges = runs.repartitionByRange(n, *keys).sortWithinPartitions("run", "seq").withColumn("history", F.spark_partition_id())
     return ranges.mapInArrow(run, INDEX)
 
 
-def _merged(rows: list[list]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _INDEX_TYPES, strict=True)], names=_INDEX_NAMES)
-
-
 def index(manifest: DataFrame) -> DataFrame:
-    """The merged index of a manifest's archives."""
+    """The merged index of a manifest's archives, a row for each record, whatever its URL, page_id or payload."""
     return merge_runs(written(read_runs(manifest), "warc-runs"))

@@ -55,6 +55,29 @@ def test_history_survives_a_write(spark, rows, tmp_path):
     assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("most", [7, 50])
+def test_merge_in_files(spark, rows, most, monkeypatch):
+    """With few captures held, runs are merged by way of files, which are deleted, and the history is the same."""
+    import os
+
+    from meridian.llm import common
+
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6), archive_bytes=4000)
+    want = sorted(map(repr, warc.index(manifest).collect()))
+    monkeypatch.setattr(warc, "MERGE_ROWS", most)
+    got = warc.index(manifest).collect()
+    assert sorted(map(repr, got)) == want
+    root = common.shared_root(spark).removeprefix("file://") + "/meridian"
+    left = [os.listdir(f"{root}/{x}") for x in os.listdir(root) if x.startswith("warc-merges")]
+    assert left and not any(left)
+
+
+def test_a_long_page(spark):
+    html = "<p>" + "word " * 2_000_000
+    r = warc.index(warc.write_archives(spark.createDataFrame([(1, "http://a/", html), (2, "http://b/" + "x" * 100_000, html)], "page_id long, url string, html string"))).orderBy("page_id").collect()
+    assert [(x["payload_bytes"], x["record_type"], x["refers_to"]) for x in r] == [(len(html), "response", None), (len(html), "revisit", 1)]
+
+
 def test_no_pages(spark):
     index = warc.index(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string")))
     assert index.count() == 0
