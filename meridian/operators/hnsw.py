@@ -6,11 +6,11 @@ graph is one binary value; probing maps over graphs and blocks of queries and me
 
 from __future__ import annotations
 
-import heapq
 import io
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 from meridian.operators.knn import query_blocks
 
 _M64 = (1 << 64) - 1
-#: Up to so many nodes a scan finds an insertion's candidates sooner than a walk does, and exactly.
-SCAN_POINTS = 20_000
+#: Candidates of a walk that are expanded together.
+WIDTH = 8
+
+
+#: What build() gives.
+GRAPH = "shard_idx int, points long, graph binary"
 
 
 @dataclass(frozen=True)
@@ -53,14 +57,13 @@ class Graph:
         self.ids, self.vectors, self.metric, self.params = ids, np.asarray(vectors, np.float64), metric, params
         self.links: list[list[list[int]]] = links if links is not None else []
         self.entry = entry
-        self.done = len(self.links)
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1)) if len(self.vectors) else np.zeros(0)
+        self.seen, self.turn = np.zeros(len(ids), np.int64), 0
         if links is None:
             draw = _random(params.seed)
             for node in range(len(ids)):
                 u = ((next(draw) >> 11) + 1) / (1 << 53)
                 self._insert(node, int(-math.log(u) / math.log(params.m)))
-                self.done += 1
 
     def distances(self, q: np.ndarray, q_norm: float, nodes: list[int] | slice) -> np.ndarray:
         rows = self.vectors[nodes]
@@ -72,36 +75,22 @@ class Graph:
         return 1.0 - np.clip(sim, -1.0, 1.0)
 
     def _nearest(self, q, q_norm, starts: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
-        """Best-first search of a layer: the ef nearest found, ascending by (distance, node)."""
-        if layer == 0 and self.done <= ef:  # ef covers all nodes that are linked
-            return self._scan(q, q_norm, ef)
-        seen = {n for _, n in starts}
-        todo = list(starts)
-        heapq.heapify(todo)
-        best = [(-d, -n) for d, n in starts]
-        heapq.heapify(best)
-        while todo:
-            d, n = heapq.heappop(todo)
-            if len(best) >= ef and d > -best[0][0]:
-                break
-            new = [x for x in self.links[n][layer] if x not in seen]
-            if not new:
+        """Best-first search of a layer: the ef nearest found, ascending by (distance, node), until all are expanded."""
+        self.turn += 1
+        d, nodes = np.array([x for x, _ in starts]), np.array([n for _, n in starts])
+        self.seen[nodes] = self.turn
+        fresh = np.ones(len(nodes), bool)
+        while len(at := fresh.nonzero()[0][:WIDTH]):
+            fresh[at] = False
+            new = np.fromiter(chain.from_iterable(self.links[n][layer] for n in nodes[at].tolist()), np.int64)
+            new = np.unique(new[self.seen[new] != self.turn])
+            if not len(new):
                 continue
-            seen.update(new)
-            for dx, x in zip(self.distances(q, q_norm, new).tolist(), new, strict=True):
-                if len(best) < ef or dx < -best[0][0]:
-                    heapq.heappush(todo, (dx, x))
-                    heapq.heappush(best, (-dx, -x))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        return sorted((-d, -n) for d, n in best)
-
-    def _scan(self, q, q_norm, most: int) -> list[tuple[float, int]]:
-        """The nearest of all linked nodes, ascending."""
-        d = self.distances(q, q_norm, slice(0, self.done))
-        near = np.argpartition(d, most)[:most] if len(d) > most else np.arange(len(d))
-        near = near[np.lexsort((near, d[near]))]
-        return list(zip(d[near].tolist(), near.tolist(), strict=True))
+            self.seen[new] = self.turn
+            d, nodes = np.concatenate([d, self.distances(q, q_norm, new)]), np.concatenate([nodes, new])
+            best = np.lexsort((nodes, d))[:ef]
+            d, nodes, fresh = d[best], nodes[best], np.concatenate([fresh, np.ones(len(new), bool)])[best]
+        return list(zip(d.tolist(), nodes.tolist(), strict=True))
 
     def _between(self, nodes: list[int]) -> np.ndarray:
         """Distances of some nodes to one another."""
@@ -140,10 +129,7 @@ class Graph:
         for layer in range(top, level, -1):
             at = self._nearest(q, q_norm, at[:1], 1, layer)
         for layer in range(min(level, top), -1, -1):
-            if layer == 0 and self.done <= SCAN_POINTS:
-                at = self._scan(q, q_norm, self.params.ef_construction)
-            else:
-                at = self._nearest(q, q_norm, at, self.params.ef_construction, layer)
+            at = self._nearest(q, q_norm, at, self.params.ef_construction, layer)
             most = self.params.m0 if layer == 0 else self.params.m
             chosen = self._spread(at, self.params.m)
             self.links[node][layer] = list(chosen)
@@ -223,22 +209,22 @@ def build(points: DataFrame, metric: str = "L2", params: Params = Params()) -> D
         g = Graph(pdf["id"].to_numpy(), np.stack(pdf["vector"].to_numpy()), metric, params)
         return pd.DataFrame({"shard_idx": [pdf["shard_idx"].iloc[0]], "points": [len(pdf)], "graph": [g.to_bytes()]})
 
-    return points.select("shard_idx", "id", "vector").groupBy("shard_idx").applyInPandas(run, "shard_idx int, points long, graph binary")
+    return points.select("shard_idx", "id", "vector").groupBy("shard_idx").applyInPandas(run, GRAPH)
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64) -> DataFrame:
     """(qid, id, score, rank): the k nearest found for queries(qid, qvector), probed in blocks against every graph."""
-    found = graphs.sparkSession.createDataFrame([], "qid long, id long, score double")
-    for block in query_blocks(queries):
-
-        def run(it: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                for blob in pdf["graph"]:
-                    g = Graph.from_bytes(blob)
-                    rows = [(q, i, d) for q, v in block for d, i in g.search(v, k, ef)]
+    blocks = query_blocks(queries)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for blob in pdf["graph"]:
+                g = Graph.from_bytes(blob)
+                for qids, vectors in blocks():
+                    rows = [(q, i, d) for q, v in zip(qids.tolist(), vectors, strict=True) for d, i in g.search(v, k, ef)]
                     yield pd.DataFrame(rows, columns=["qid", "id", "score"])
 
-        found = found.union(graphs.select("graph").mapInPandas(run, "qid long, id long, score double"))
+    found = graphs.select("graph").mapInPandas(run, "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.col("score").asc_nulls_last(), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

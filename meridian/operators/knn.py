@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions.vector import check_vector, distance
+from meridian.sources import files
 
 DEFAULT_K = 10
 DEFAULT_EF = 64
-#: Queries of a batch search that go against the points together.
-QUERY_BLOCK = 2000
+#: Queries of a batch search that go against the points together, and points that a task holds.
+QUERY_BLOCK, POINT_BLOCK = 2000, 1 << 16
 
 
 def order(score: str = "score", id_col: str = "id") -> list[Column]:
@@ -53,14 +54,20 @@ def merge_topk(shard_results: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     return shard_results.select("id", "score").orderBy(*order()).limit(k)
 
 
-def query_blocks(queries: DataFrame, column: str = "qvector") -> Iterator[list[tuple[int, list[float]]]]:
-    """queries(qid, qvector) in lists of QUERY_BLOCK or so, dealt by hash; one block is on the driver at a time."""
-    n = -(-queries.count() // QUERY_BLOCK)
-    rows = queries.select("qid", column)
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) if n > 1 else rows
-        if block := [(r[0], list(r[1])) for r in part.collect()]:
-            yield sorted(block, key=lambda q: q[0])
+def query_blocks(queries: DataFrame, column: str = "qvector") -> Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Writes queries(qid, qvector) to the shared folder; what is returned reads them in a task, QUERY_BLOCK at a time."""
+    path, size = files.shared_path(queries.sparkSession, "queries"), QUERY_BLOCK
+    queries.select("qid", F.col(column).cast("array<double>").alias("v")).write.parquet(path)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        from pyarrow import dataset, fs
+
+        where, name = fs.FileSystem.from_uri(path)
+        for b in dataset.dataset(name, filesystem=where, format="parquet").to_batches(batch_size=size):
+            if b.num_rows:
+                yield b.column(0).to_numpy(zero_copy_only=False), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+    return blocks
 
 
 def scores(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
@@ -90,26 +97,32 @@ def scores(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
 def knn_join(queries: DataFrame, points: DataFrame, k: int = DEFAULT_K, metric: str = "L2") -> DataFrame:
     """Batch search (an extension): (qid, id, score, rank) for queries(qid, qvector) against all points(id, vector).
 
-    Queries go in blocks against the points as they stream by. A task keeps k rows for each query of the block, so
-    what is shuffled follows tasks and queries, not pairs.
+    The points are read once. A task holds POINT_BLOCK of them, reads the queries in blocks against those, and keeps k
+    rows for each query, so what is shuffled follows blocks of points and queries, not pairs.
     """
-    out = points.sparkSession.createDataFrame([], "qid long, id long, score double")
-    for block in query_blocks(queries):
-        qids, qs = np.array([q for q, _ in block], np.int64), np.array([v for _, v in block], np.float64)
-
-        def run(batches, qids=qids, qs=qs):
-            ids, best = np.zeros((0, len(qids)), np.int64), np.zeros((0, len(qids)))
-            for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
-                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                    here = np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False)[:, None], (part.num_rows, len(qids)))
-                    ids, best = np.concatenate([ids, here]), np.concatenate([best, scores(x, qs, metric)])
-                    nearest = np.lexsort((ids, best), axis=0)[:k]
-                    ids, best = np.take_along_axis(ids, nearest, 0), np.take_along_axis(best, nearest, 0)
-            if len(ids):
-                yield pa.record_batch([pa.array(np.tile(qids, len(ids))), pa.array(ids.ravel()), pa.array(best.ravel())], names=["qid", "id", "score"])
-
-        out = out.union(points.select("id", "vector").mapInArrow(run, "qid long, id long, score double"))
+    blocks, most = query_blocks(queries), POINT_BLOCK
+
+    def nearest(ids, x):
+        for qids, qs in blocks():
+            here, best = np.zeros((0, len(qids)), np.int64), np.zeros((0, len(qids)))
+            for at in range(0, len(ids), 1024):
+                part = np.broadcast_to(ids[at : at + 1024, None], (len(ids[at : at + 1024]), len(qids)))
+                here, best = np.concatenate([here, part]), np.concatenate([best, scores(x[at : at + 1024], qs, metric)])
+                keep = np.lexsort((here, best), axis=0)[:k]
+                here, best = np.take_along_axis(here, keep, 0), np.take_along_axis(best, keep, 0)
+            yield pa.record_batch([pa.array(np.tile(qids, len(here))), pa.array(here.ravel()), pa.array(best.ravel())], names=["qid", "id", "score"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)))
+            n += b.num_rows
+            if n >= most:
+                yield from nearest(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield from nearest(*map(np.concatenate, zip(*held, strict=True)))
+
+    out = points.select("id", "vector").mapInArrow(run, "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(*order())
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

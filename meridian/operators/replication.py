@@ -17,6 +17,15 @@ def consistency_count(level: Column, n: Column) -> Column:
     return F.greatest(F.lit(1), F.least(need, F.greatest(n, F.lit(1)))).cast("int")
 
 
+LEVELS = ("ONE", "QUORUM", "ALL", "UNSPECIFIED")
+
+
+def needed(level: str, n: int) -> int:
+    """The same for one set of replicas."""
+    need = {"ONE": 1, "ALL": n}.get(level, n // 2 + 1)
+    return max(1, min(need, max(n, 1)))
+
+
 def write_view(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Replicas that a write goes to: all of a shard whose address is known, whatever their state."""
     return placed.join(nodes, "node_id")

@@ -11,9 +11,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of this process."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of this process in a local session; an error elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _OWN.setdefault("root", "file://" + tempfile.mkdtemp(prefix="meridian-"))
     return root if "://" in root else "file://" + root
 

@@ -8,6 +8,7 @@ its input.
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 import zlib
@@ -23,8 +24,8 @@ _FRAME, _HEAD, _LEN = struct.Struct("<II"), struct.Struct("<BQQI"), struct.Struc
 SCHEMA = "offset long, end long, op string, hlc long, id long, vector array<float>, payload binary"
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.binary()]
 _NAMES = [f.split(" ")[0] for f in SCHEMA.split(", ")]
-#: Records of a segment file at most.
-SEGMENT_RECORDS = 1_000_000
+#: Records of a segment file at most, and bytes but for its last record.
+SEGMENT_RECORDS, SEGMENT_BYTES = 1_000_000, 128 << 20
 
 
 def encode(op: int, hlc: int, id_: int, vector=(), payload: bytes = b"") -> bytes:
@@ -46,21 +47,26 @@ def _body(body: memoryview) -> tuple[int, int, int, list[float], bytes] | None:
     return op, hlc, id_, np.frombuffer(body, "<f4", dim, _HEAD.size).tolist(), bytes(body[at + _LEN.size :])
 
 
-def decode(blob: bytes) -> Iterator[tuple]:
-    """(offset, end, op, hlc, id, vector, payload) of the good frames, in order."""
-    view, at = memoryview(blob), 0
-    while at + _FRAME.size <= len(view):
-        size, crc = _FRAME.unpack_from(view, at)
-        end = at + 4 + size
-        if size < 4 or end > len(view):
+def read(f) -> Iterator[tuple]:
+    """(offset, end, op, hlc, id, vector, payload) of the good frames of an open file, in order, a frame in memory."""
+    at = 0
+    while len(head := f.read(_FRAME.size)) == _FRAME.size:
+        size, crc = _FRAME.unpack(head)
+        if size < 4:
             return
-        body = view[at + _FRAME.size : end]
-        if zlib.crc32(body) != crc or (r := _body(body)) is None:
+        body = f.read(size - 4)
+        if len(body) < size - 4 or zlib.crc32(body) != crc or (r := _body(memoryview(body))) is None:
             return
+        end = at + 4 + size
         yield at, end, "delete" if r[0] == DELETE else "upsert", *r[1:]
         at = end
 
 
+def decode(blob: bytes) -> Iterator[tuple]:
+    """The same of some bytes."""
+    return read(io.BytesIO(blob))
+
+
 def good_end(blob: bytes) -> int:
     return max((r[1] for r in decode(blob)), default=0)
 
@@ -69,23 +75,31 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """The good records of all segment files under a path, with the file's name."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def scan(spark: SparkSession, segments: str | DataFrame) -> DataFrame:
+    """The good records of segments, with the file's name: of a manifest (path, ...), as write() gives it, or of all
+    files under a path. Only a manifest leaves out what attempts of tasks wrote that did not count."""
+    if isinstance(segments, str):
+        paths = spark.read.format("binaryFile").load(segments).select("path")
+    else:
+        paths = segments.select("path").repartition(max(1, segments.count()), "path")
 
     def run(batches):
+        from pyarrow import fs as pafs
+
         for b in batches:
-            for name, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = []
-                for r in decode(blob):
-                    rows.append(r)
-                    if len(rows) == 4096:
+            for name in b.column(0).to_pylist():
+                fs, path = pafs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file:///") else name)
+                with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as f:
+                    rows = []
+                    for r in read(f):
+                        rows.append(r)
+                        if len(rows) == 4096:
+                            yield _named(rows, name)
+                            rows = []
+                    if rows:
                         yield _named(rows, name)
-                        rows = []
-                if rows:
-                    yield _named(rows, name)
 
-    return files.mapInArrow(run, "file string, " + SCHEMA)
+    return paths.mapInArrow(run, "file string, " + SCHEMA)
 
 
 def _named(rows: list[tuple], name: str) -> pa.RecordBatch:
@@ -93,34 +107,38 @@ def _named(rows: list[tuple], name: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array([name] * len(rows), pa.string()), *b.columns], names=["file", *_NAMES])
 
 
-def write(log: DataFrame, folder: str, segment_records: int = SEGMENT_RECORDS) -> DataFrame:
-    """Writes log(op, hlc, id, vector, payload) as segments, one or more a task: (path, records), computed when read.
+def write(log: DataFrame, folder: str, segment_records: int = SEGMENT_RECORDS, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Writes log(op, hlc, id, vector, payload) as segments, one or more a task: the manifest (path, records), which
+    must be written once, as the segments are written whenever it is computed.
 
     op is upsert or delete; a delete has neither vector nor payload. Each attempt of a task writes files of new
     names, so only what the returned rows name counts.
     """
 
+    scheme = folder.split("://", 1)[0]
+
     def run(batches):
         from pyarrow import fs as pafs
 
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        sink, name, n, done = None, "", 0, []
+        sink, name, n, size, done = None, "", 0, 0, []
         for b in batches:
             for op, hlc, id_, vector, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if sink is None:
-                    name, n = f"{base}/{uuid.uuid4().hex}.wal", 0
+                    name, n, size = f"{base}/{uuid.uuid4().hex}.wal", 0, 0
                     sink = fs.open_output_stream(name)
                 gone = op == "delete"
-                sink.write(encode(DELETE if gone else UPSERT, hlc, id_, () if gone else vector or (), b"" if gone else payload or b""))
-                n += 1
-                if n >= segment_records:
+                frame = encode(DELETE if gone else UPSERT, hlc, id_, () if gone else vector or (), b"" if gone else payload or b"")
+                sink.write(frame)
+                n, size = n + 1, size + len(frame)
+                if n >= segment_records or size >= segment_bytes:
                     sink.close()
-                    done.append((name, n))
+                    done.append((f"{scheme}://{name}", n))
                     sink = None
         if sink is not None:
             sink.close()
-            done.append((name, n))
+            done.append((f"{scheme}://{name}", n))
         yield pa.record_batch([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "records"])
 
     return log.select("op", "hlc", "id", "vector", "payload").mapInArrow(run, "path string, records long")
@@ -149,10 +167,15 @@ class _Reader(DataSourceReader):
         from pyarrow import fs as pafs
 
         fs, name = pafs.FileSystem.from_uri(partition.path)
-        with fs.open_input_file(name) as f:
-            rows = list(decode(f.read()))
-        for at in range(0, len(rows), 4096):
-            yield _batch(rows[at : at + 4096])
+        with fs.open_input_stream(name, compression=None, buffer_size=1 << 20) as f:
+            rows = []
+            for r in read(f):
+                rows.append(r)
+                if len(rows) == 4096:
+                    yield _batch(rows)
+                    rows = []
+        if rows:
+            yield _batch(rows)
 
 
 class WalSource(DataSource):

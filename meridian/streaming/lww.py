@@ -15,6 +15,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from meridian.operators import lww
+from meridian.sources import files
+
+STATE = "id long, seq long, hlc long, tombstone boolean"
+#: Batches after which a stream's changes are merged.
+MERGE_BATCHES = 32
+
 
 def read_log(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -26,14 +33,31 @@ def latest(stream: DataFrame) -> DataFrame:
     return stream.groupBy("id").agg(best.alias("w")).select("id", "w.seq", "w.hlc", "w.tombstone")
 
 
-def materialise(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Writes the state after each batch as a new folder out/batch=N; the highest N is the state, and a batch that
-    runs again writes the same folder again."""
+def materialise(stream: DataFrame, out: str, checkpoint: str, merge_every: int = MERGE_BATCHES) -> StreamingQuery:
+    """Writes what each batch changed as a folder out/delta=N, and every so often all of it as out/base=N, after which
+    older folders go; read it by current(). A batch that runs again writes the same folders again."""
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
-
-    return stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/delta={n}")
+        if (n + 1) % merge_every == 0:
+            if not files.exists(spark, f"{out}/base={n}/_SUCCESS"):
+                current(spark, out).write.mode("overwrite").parquet(f"{out}/base={n}")
+            for name in files.names(spark, out):
+                if int(name.split("=")[1]) < n or name == f"delta={n}":
+                    files.delete(spark, f"{out}/{name}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, out: str) -> DataFrame:
+    """The state (id, seq, hlc, tombstone): the last whole base and what changed since."""
+    done = [x for x in files.names(spark, out) if files.exists(spark, f"{out}/{x}/_SUCCESS")]
+    number = {x: int(x.split("=")[1]) for x in done}
+    base = max((x for x in done if x.startswith("base=")), key=number.get, default=None)
+    parts = [x for x in done if x.startswith("delta=") and (base is None or number[x] > number[base])] + ([base] if base else [])
+    rows = spark.read.schema(STATE).parquet(*[f"{out}/{x}" for x in parts]) if parts else spark.createDataFrame([], STATE)
+    return lww.winners(rows)
 
 
 def outcomes(stream: DataFrame) -> DataFrame:

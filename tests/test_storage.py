@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meridian.client import Client
 from meridian.config import Config
-from meridian.errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound
+from meridian.errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound, Unavailable
 from meridian.functions.hlc import Clock
 from meridian.operators import hnsw, knn
 from meridian.operators.meta import Schema
@@ -158,6 +158,13 @@ def test_a_new_client_goes_on(client, spark):
 def test_snapshots_by_size(spark):
     with pytest.raises(ValueError):
         Store(spark, "file:///tmp/x", 0)
+    store, g = Store(spark, files.shared_path(spark, "store"), 1), np.random.default_rng(1)
+    store.create("s", Schema(64))
+    for n in range(4):
+        rows = [(i, [float(x) for x in g.normal(size=64)], None, n * 1000 + i, False, i) for i in range(n * 500, n * 500 + 1500)]
+        store.append("s", spark.createDataFrame(rows, "id long, vector array<float>, payload binary, hlc long, tombstone boolean, seq long"), n)
+    m = store.manifest("s")
+    assert m["snapshot"]["lsn"] >= 3 and len(m["batches"]) < 3 and store.versions("s").count() == 3000
 
 
 def test_membership(client):
@@ -208,11 +215,98 @@ def test_graph_recall(metric):
     assert hits >= 0.95 * 500
 
 
-@pytest.mark.parametrize("metric", ["L2", "COSINE"])
-def test_recall_of_walked_graphs(metric, monkeypatch):
-    """Graphs as they are linked beyond SCAN_POINTS: by the beam, whose width is below the number of points."""
-    monkeypatch.setattr(hnsw, "SCAN_POINTS", 0)
-    test_graph_recall(metric)
+def test_recall_of_a_large_graph():
+    """10,000 clustered points of 128 dimensions, ef_construction 200, ef 64, 100 queries: far more points than ef."""
+    g = np.random.default_rng(7)
+    centers = g.uniform(-1, 1, (50, 128))
+    data, queries = (centers[g.integers(0, 50, n)] + g.normal(0, 0.35, (n, 128)) for n in (10_000, 100))
+    graph = hnsw.Graph(np.arange(10_000), data)
+    assert graph.violations() == []
+    hits = 0
+    for q in queries:
+        exact = np.argsort(((data - q) ** 2).sum(axis=1))[:10]
+        hits += len({i for _, i in graph.search(q, 10, 64)} & set(exact.tolist()))
+    assert hits >= 0.95 * 1000
+
+
+def test_kept_graphs(client, spark):
+    r = random.Random(6)
+    client.create_collection("g", 4, shard_count=3)
+    client.upsert("g", [(i, [r.random() for _ in range(4)]) for i in range(300)])
+    q = [0.5] * 4
+    same = lambda k: [x[:2] for x in client.search("g", q, k, 300, exact=False)] == [x[:2] for x in client.search("g", q, k)]
+    assert client.store.graphs("g") is None and same(10)
+    path = client.store.manifest("g")["graphs"]["path"]
+    best = client.search("g", q, 3)
+    client.delete("g", [best[0][0]])
+    client.upsert("g", [(best[1][0], [9, 9, 9, 9]), (1000, q, b"new")])
+    assert same(10) and client.search("g", q, 1, exact=False) == [(1000, 0.0, b"new")]
+    assert client.store.manifest("g")["graphs"]["path"] == path
+    other = Client(spark, client.store.root)
+    assert [x[:2] for x in other.search("g", q, 10, 300, exact=False)] == [x[:2] for x in client.search("g", q, 10)]
+    client.store.snapshot("g")
+    assert client.store.manifest("g")["graphs"]["path"] != path and same(10)
+
+
+def test_a_restart_keeps_metadata(client, spark):
+    client.join("2@h:2")
+    client.join("3@h:3")
+    client.create_collection("alpha", 2, replication_n=2)
+    client.create_collection("beta", 2, "COSINE", 4)
+    client.set_state("alpha", 0, client.meta.shard_rows()[0][3], "Syncing")
+    client.leave(3)
+    client.create_collection("gone", 2)
+    client.drop_collection("gone")
+    client.upsert("alpha", [(1, [1, 2], b"x")])
+    other = Client(spark, client.store.root, node=(9, "h:9"))
+    assert other.cluster_info() == client.cluster_info() and set(other.meta.nodes) == {1, 2} and set(other.meta.collections) == {"alpha", "beta"}
+    assert other.get("alpha", [1], "ONE") == [(1, [1.0, 2.0], b"x")] and other.search("beta", [1, 1]) == []
+
+
+def test_consistency_and_hints(client):
+    for n in (2, 3):
+        client.join(f"{n}@h:{n}")
+    client.create_collection("c", 1, shard_count=1, replication_n=3)
+    client.mark(2, up=False)
+    assert client.upsert("c", [(1, [1]), (2, [2])]) == 2 and client.get("c", [1])[0][0] == 1
+    with pytest.raises(Unavailable):
+        client.upsert("c", [(3, [3])], "ALL")
+    with pytest.raises(Unavailable):
+        client.get("c", [1], "ALL")
+    client.mark(3, up=False)
+    with pytest.raises(Unavailable):
+        client.delete("c", [1])
+    assert client.delete("c", [2], "ONE") == 1
+    with pytest.raises(InvalidArgument):
+        client.get("c", [1], "MOST")
+    assert client.mark(2, up=True) == 5 and client.mark(2, up=True) == 0
+    assert [x[0] for x in client.get("c", [1, 2, 3], "QUORUM")] == [3]  # a missed quorum takes nothing back
+    assert client.mark(3, up=True) == 2 and client.get("c", [3], "ALL")[0][1] == [3.0]
+    client.set_state("c", 0, 1, "Syncing")
+    with pytest.raises(Unavailable):
+        client.get("c", [3], "ALL")
+
+
+def test_upserts_of_frames(client, spark):
+    client.create_collection("f", 1)
+    assert client.upsert("f", spark.range(50).selectExpr("id", "array(cast(id as float)) as vector")) == 50
+    assert client.delete("f", spark.range(49).select("id")) == 49 and [i for i, _, _ in client.search("f", [0])] == [49]
+
+
+def test_only_segments_of_the_manifest_count(spark, tmp_path):
+    """Segments of attempts that didn't count are not read; a segment is bounded in bytes and read frame by frame."""
+    folder = f"file://{tmp_path}/wal"
+    log = spark.createDataFrame([("upsert", i, i, [1.0] * 8, bytearray(100)) for i in range(200)], "op string, hlc long, id long, vector array<float>, payload binary").coalesce(2)
+    manifest = wal.write(log, folder, segment_bytes=2000)
+    manifest.write.parquet(f"file://{tmp_path}/m1")
+    manifest.write.parquet(f"file://{tmp_path}/m2")
+    paths = spark.read.parquet(f"file://{tmp_path}/m1")
+    assert paths.count() > 10 and all(r["records"] <= 15 for r in paths.collect())
+    assert sorted(r["id"] for r in wal.scan(spark, paths).collect()) == list(range(200))
+    assert wal.scan(spark, folder).count() == 400
+    with open(paths.first()["path"].removeprefix("file://"), "r+b") as f:
+        f.truncate(300)
+    assert wal.scan(spark, paths).count() == 200 - paths.first()["records"] + 1
 
 
 def test_graph_edges():
