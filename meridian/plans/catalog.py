@@ -13,6 +13,8 @@ from meridian.operators import hnsw, knn, lww, meta, placement, rebalance, repli
 from meridian.plans import sqltext as sql
 from meridian.session import table
 from meridian.sources import files, wal
+from meridian.sources.meta_log import MetaLog
+from meridian.sources.store import Store
 from meridian.streaming import lww as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -434,6 +436,33 @@ def snapshot_tail_replay(spark, sf_dir):
     return lww.winners(spark.read.schema(log.schema).parquet(path).unionByName(log.where(F.col("seq") >= n // 2)))
 
 
+@query("store_recovery", f"WITH {sql.LATE} SELECT id, hlc, tombstone FROM {sql.winners('late')}")
+def store_recovery(spark, sf_dir):
+    """Batches of the log in a collection on disk, a snapshot after the second, read by another Store."""
+    log = late_log(spark, sf_dir).select("id", F.array(F.lit(1.0)).alias("vector"), F.col("payload").cast("binary").alias("payload"), "hlc", "tombstone", "seq")
+    root = files.shared_path(spark, "store")
+    store = Store(spark, root)
+    store.create("c", meta.Schema(1))
+    for k in range(3):
+        store.append("c", log.where(F.col("seq") % 3 == k), k)
+        if k == 1:
+            store.snapshot("c")
+    return Store(spark, root).versions("c").select("id", "hlc", "tombstone")
+
+
+_SYNCED = [x for x in STATES if x[:3] != ("alpha", 4, 5)]
+
+
+@query("meta_log_recovery", f"WITH {_PLACED}, {sql.values('states', 'collection, shard_idx, node_id, state', _SYNCED)} SELECT p.collection, p.shard_idx, p.rank::INTEGER AS rank, p.node_id::BIGINT AS node_id, coalesce(s.state, 'Active') AS state FROM placed p LEFT JOIN states s USING (collection, shard_idx, node_id)")
+def meta_log_recovery(spark, sf_dir):
+    """The metadata log with a node that leaves and a state that is reset, folded again from its snapshots and requests."""
+    folder = files.shared_path(spark, "meta")
+    log = MetaLog(spark, folder, snapshot_every=8)
+    for kind, args in [("register", {"node_id": 6, "addr": "node6:7000"}), *_META, ("set_state", {"collection": "alpha", "shard_idx": 1, "node_id": 6, "state": "Syncing"}), ("deregister", {"node_id": 6}), ("set_state", {"collection": "alpha", "shard_idx": 4, "node_id": 5, "state": "Active"})]:
+        log.apply(kind, **args)
+    return MetaLog(spark, folder).state.shard_map(spark)
+
+
 @query(
     "wal_scan",
     f"WITH {sql.LOG} SELECT CASE WHEN tombstone THEN 'delete' ELSE 'upsert' END AS op, hlc, id, CASE WHEN tombstone THEN 0 ELSE 3 END::INTEGER AS dim, CASE WHEN tombstone THEN 0 ELSE octet_length(encode(payload)) END::INTEGER AS payload_bytes FROM wlog",
@@ -441,8 +470,9 @@ def snapshot_tail_replay(spark, sf_dir):
 def wal_scan(spark, sf_dir):
     log = write_log(spark, sf_dir).select(F.when(F.col("tombstone"), "delete").otherwise("upsert").alias("op"), "hlc", "id", F.array(*[F.lit(x).cast("float") for x in (1.0, 2.0, 3.0)]).alias("vector"), F.encode("payload", "utf-8").alias("payload"))
     folder = files.shared_path(spark, "wal")
-    wal.write(log, folder).write.parquet(files.shared_path(spark, "wal-manifest"))
-    return wal.scan(spark, folder).select("op", "hlc", "id", F.size("vector").alias("dim"), F.octet_length("payload").alias("payload_bytes"))
+    manifest = files.shared_path(spark, "wal-manifest")
+    wal.write(log, folder).write.parquet(manifest)
+    return wal.scan(spark, spark.read.parquet(manifest)).select("op", "hlc", "id", F.size("vector").alias("dim"), F.octet_length("payload").alias("payload_bytes"))
 
 
 @query("stream_lww", f"WITH {sql.LATE} SELECT id, seq, hlc, tombstone FROM {sql.winners('late')}")
@@ -452,8 +482,7 @@ def stream_lww(spark, sf_dir):
     log.repartition(4).write.parquet(f"{base}/log")
     q = stream.materialise(stream.latest(stream.read_log(spark, f"{base}/log", log.schema)), f"{base}/state", f"{base}/checkpoint")
     q.awaitTermination()
-    last = max(int(x.split("=")[1]) for x in files.names(spark, f"{base}/state"))
-    return spark.read.parquet(f"{base}/state/batch={last}").select("id", "seq", "hlc", "tombstone")
+    return stream.current(spark, f"{base}/state").select("id", "seq", "hlc", "tombstone")
 
 
 @query(
