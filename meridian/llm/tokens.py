@@ -15,7 +15,9 @@ import numpy as np
 
 #: Pieces kept in a worker; beyond it the older half goes. Longer pieces, which seldom come again, are not kept, so
 #: that a cache takes a few hundred bytes a piece at most.
-CACHE_PIECES, PIECE_BYTES = 500_000, 64
+CACHE_PIECES, PIECE_BYTES = 800_000, 64
+#: Marks, a byte each, of pieces seen once; they are cleared when half are set.
+SEEN_MARKS = 1 << 22
 
 _ODD = re.compile(r"[ \n](?:\s|$)")
 _CUT = re.compile(r"(?=[ \n]\S)")
@@ -35,11 +37,16 @@ _BLANK = _BYTE_CHARS[ord(" ")]
 
 
 class _Pieces(dict):
-    """piece -> its ids as bytes; a missing one is encoded. Two generations bound the memory."""
+    """piece -> its ids as bytes; a missing one is encoded. Two generations bound the memory.
+
+    Once the first generation is full, a piece is kept from the second time it is met (or marked alike), as more than
+    half of all pieces come once and would push out those that come again. What is kept has no bearing on the ids.
+    """
 
     def __init__(self, encode, limit: int):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit // 2, {}
+        self.seen, self.marked = bytearray(SEEN_MARKS), 0
 
     def __missing__(self, piece):
         ids = self.old.get(piece)
@@ -47,6 +54,13 @@ class _Pieces(dict):
             ids = self.encode(piece)
             if len(piece) > PIECE_BYTES:
                 return ids
+            at = hash(piece) % SEEN_MARKS
+            if self.old and not self.seen[at]:
+                if self.marked >= SEEN_MARKS // 2:
+                    self.seen, self.marked = bytearray(SEEN_MARKS), 0
+                self.seen[at] = 1
+                self.marked += 1
+                return ids
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -63,6 +77,7 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocab <= 0x10000 else np.dtype("<u4")
         self.pieces = _Pieces(self._piece, cache)
@@ -91,7 +106,7 @@ class TextEncoder:
 
     def _run(self, run: str) -> bytes:
         """Ids of one split by the library's merges, from its bytes' printable signs."""
-        return b"".join([self.of_id[t.id] for t in self.tokenizer.model.tokenize(run)])
+        return b"".join([self.of_id[t.id] for t in self.merge(run)])
 
     @staticmethod
     def _mapped(run: str) -> str:

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from meridian.llm import packing, token_files
+from meridian.llm import packing, token_files, tokens
 from meridian.llm.tokens import TextEncoder, encoder, public_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -90,6 +90,19 @@ def test_long_pieces_are_not_kept():
     assert max(map(len, enc.pieces)) <= 64
 
 
+@pytest.mark.parametrize("name", [WORDS, BYTES])
+def test_a_small_cache_gives_the_same_ids(name, monkeypatch):
+    """Turnover, marks that are cleared, and pieces that are met once, twice and often."""
+    monkeypatch.setattr(tokens, "SEEN_MARKS", 64)
+    r = random.Random(8)
+    enc = TextEncoder(public_path(name), cache=40)
+    words = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 9))) + r.choice(["", "", ",", ".\n", "!?"]) for _ in range(300)]
+    for _ in range(60):
+        text = " ".join(r.choice(words[: r.choice([10, 300])]) for _ in range(40))
+        assert enc.ids(text).tolist() == library(name, text)
+        assert len(enc.pieces) <= 20 and len(enc.pieces.old) <= 20 and enc.pieces.marked <= 32
+
+
 def test_files_of_no_rows(empty):
     manifest, ids_of = token_files.write_files(empty, public_path(WORDS), 2)
     assert token_files.read_files(manifest, ids_of).count() == 0
@@ -129,5 +142,34 @@ def test_packing_balances_cost():
     assert len(placed) < 1.6 * len(lengths)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_against_brute_force(seed):
+    """Each piece, longest first, goes to the cheapest sequence with room, or fills the one with the most room."""
+    r = random.Random(seed)
+    size, linear, quadratic = 64, 1.0, r.choice([0.0, 1 / 12288, 0.5])
+    lengths = [r.choice([r.randint(1, size), 7, 64]) for _ in range(r.randint(1, 60))]
+    n = max(1, sum(lengths) // size - r.choice([0, 2]))
+    sequences: list[list[int]] = [[] for _ in range(n)]
+    want, over = [], []
+
+    def cost(s):
+        return sum(linear * x + quadratic * x * x for x in s)
+
+    for i in sorted(range(len(lengths)), key=lambda j: -lengths[j]):
+        at = 0
+        while at < lengths[i]:
+            need, rooms = lengths[i] - at, [size - sum(s) for s in sequences]
+            if max(rooms) == 0:
+                over.append((i, at, need))
+                break
+            fits = [s for s in range(n) if rooms[s] >= need]
+            to = min(fits, key=lambda s: (cost(sequences[s]), s)) if fits else rooms.index(max(rooms))
+            take = min(need, rooms[to])
+            want.append((i, at, take, to, size - rooms[to]))
+            sequences[to].append(take)
+            at += take
+    assert packing.assign(lengths, n, size, linear, quadratic) == (want, over)
+
+
 def test_packing_no_rows(empty):
     assert packing.pack(empty, public_path(BYTES)).count() == 0
