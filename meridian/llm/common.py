@@ -1,16 +1,20 @@
-"""What the corpus operators share: the shared folder, written tables, and Arrow helpers."""
+"""What the corpus operators share: the shared folder, written tables, what workers keep, and Arrow helpers."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_KEPT: dict = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -63,6 +67,28 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def kept(key: Hashable, make: Callable):
+    """make(), kept in the worker process for its tasks to come.
+
+    A worker keeps one thing at a time, since Spark hands workers on from stage to stage and what the stages of a
+    pipeline keep would add up. What is kept has no bearing on results.
+    """
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Gives what the worker keeps, and memory that is free, back to the system: for tasks that keep nothing."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()  # an encoder and its cache refer to each other
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of so many at most, so that what a step holds doesn't follow Arrow's batch size."""
     for b in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import drop, filesystem, shared_path, slices, texts, written
+from meridian.llm.common import drop, filesystem, kept, release, shared_path, slices, texts, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach to be retrieved.
@@ -312,6 +312,7 @@ def _tallies(rows: DataFrame) -> DataFrame:
     schema = "part long, term binary, items long, words long"
 
     def run(batches):
+        release()
         for b in slices(batches):
             items, words = Counter(), Counter()
             for part, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
@@ -348,15 +349,9 @@ def indexes(benchmark: DataFrame):
     drop(table)
 
 
-_LOADED: dict[str, Index] = {}
-
-
 def loaded(path: str) -> Index:
     """One index at a time in a worker process."""
-    if path not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path] = Index.load(path)
-    return _LOADED[path]
+    return kept(("index", path), lambda: Index.load(path))
 
 
 def _groups(batches, at: int):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from meridian.llm.common import drop, mix64, slices, texts, written
+from meridian.llm.common import drop, kept, mix64, release, slices, texts, written
 
 #: Words of a shingle and the percentage of similarity from which documents are linked.
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -54,15 +54,12 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
-
-
 def shingles(text: str, words: int) -> np.ndarray:
     """The sorted, distinct 64-bit hashes of a text's shingles; A-Z lower-cased, words between ASCII white space."""
     ws = text.encode().lower().split()
     if not ws:
         return np.zeros(0, np.uint64)
-    h = np.array(list(map(_HASHES.__getitem__, ws)), np.uint64)
+    h = np.array(list(map(kept("word hashes", _Hashes).__getitem__, ws)), np.uint64)
     k = min(words, len(ws))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -221,6 +218,7 @@ def _block_links(multi: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     rows = rows.join(sets.select("doc", "items"), "doc").select("bucket", "i", "j", "doc", "label", "first", "items")
 
     def run(batches):
+        release()
         key, held = None, []
 
         def done():

@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from meridian.llm.common import kept
+
 #: Pieces kept in a worker; beyond it the older half goes. Longer pieces, which seldom come again, are not kept, so
 #: that a cache takes a few hundred bytes a piece at most.
 CACHE_PIECES, PIECE_BYTES = 800_000, 64
@@ -153,14 +155,9 @@ class TextEncoder:
         return np.frombuffer(self.encode(text), dtype=self.dtype)
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
 def encoder(path: str) -> TextEncoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of a file, kept in the worker process while its tasks are of operators that encode by it."""
+    return kept(("encoder", path), lambda: TextEncoder(path))
 
 
 def public_path(name: str) -> str:
