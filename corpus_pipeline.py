@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from meridian.llm import common, decontam, near_dups, packing, quality, secrets
 from meridian.llm.tokens import public_path
 
+#: Pieces whose ids a worker keeps: fewer than op9_packing's, as executors that have run the other stages have less room.
+PIECES = 200_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept_documents(docs)
@@ -30,7 +33,7 @@ def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_path("byte_bpe_50k.json"), end_id=1).drop("cost")
+    return packing.pack(docs, public_path("byte_bpe_50k.json"), end_id=1, cache=PIECES).drop("cost")
 
 
 STAGES = [

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from meridian.llm.common import slices, texts
-from meridian.llm.tokens import encoder
+from meridian.llm.tokens import CACHE_PIECES, encoder
 
 MAX_TOKENS = 2048
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n, in units of one token's linear work.
@@ -90,15 +90,16 @@ class Packer:
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
-def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = MAX_TOKENS, block_tokens: int = BLOCK_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = MAX_TOKENS, block_tokens: int = BLOCK_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC, cache: int = CACHE_PIECES) -> DataFrame:
     """Pieces of documents(doc_id, text) with their ids (little-endian unsigned 32-bit) and places in sequences.
 
     A null or empty text is one piece, its end id. A null doc_id stays null; repeated rows are packed each;
-    other columns are ignored; an empty table gives no pieces. Rows of one sequence come from one partition.
+    other columns are ignored; an empty table gives no pieces. Rows of one sequence come from one partition. cache is
+    how many pieces of text a worker keeps the ids of, and has no bearing on the result.
     """
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cache)
         end = np.array([end_id], "<u4")
         packer = Packer(TaskContext.get().partitionId(), max_tokens, block_tokens, linear, quadratic)
         for b in slices(batches):

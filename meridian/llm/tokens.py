@@ -155,9 +155,9 @@ class TextEncoder:
         return np.frombuffer(self.encode(text), dtype=self.dtype)
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, cache: int = CACHE_PIECES) -> TextEncoder:
     """The encoder of a file, kept in the worker process while its tasks are of operators that encode by it."""
-    return kept(("encoder", path), lambda: TextEncoder(path))
+    return kept(("encoder", path, cache), lambda: TextEncoder(path, cache))
 
 
 def public_path(name: str) -> str:
